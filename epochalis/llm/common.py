@@ -143,3 +143,54 @@ def group_starts(*columns: np.ndarray) -> np.ndarray:
     for c in columns:
         change[1:] |= c[1:] != c[:-1]
     return np.flatnonzero(change)
+
+
+MULTIPLIER = 0x9E3779B97F4A7C15
+_INVERSE = pow(MULTIPLIER, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """``base ** i`` modulo 2**64 for i < n, kept between calls."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        out = np.full(max(n, 1 << 16), base, np.uint64)
+        out[0] = 1
+        _powers[base] = have = np.multiply.accumulate(out)
+    return have[:n]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spreads the bits of a hash (in place)."""
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def prefix_hash(values: np.ndarray) -> np.ndarray:
+    """Running polynomial hash; ``run_hash`` takes the hash of any run from it."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values.astype(np.uint64) * powers(MULTIPLIER, len(values)), out=out[1:])
+    return out
+
+
+def run_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of ``values[start:end]``, the same wherever the run stands."""
+    return mixed((prefix[end] - prefix[start]) * powers(_INVERSE, len(prefix))[start])
+
+
+def text_slices(column: pa.Array, size: int) -> Iterator[tuple[int, list[bytes]]]:
+    """``(first row, UTF-8 texts)`` of consecutive rows of about ``size`` bytes; null is empty."""
+    held, n, first = [], 0, 0
+    for row, value in enumerate(column):
+        raw = value.as_buffer().to_pybytes() if value.is_valid else b""
+        held.append(raw)
+        n += len(raw) + 1
+        if n >= size:
+            yield first, held
+            held, n, first = [], 0, row + 1
+    if held:
+        yield first, held
