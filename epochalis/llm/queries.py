@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .decontamination import op8_decontamination
 from .packing import op1_packing
+from .secrets import op3_secret_scan
 from .simhash import op7_simhash_near_dedup
 from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_secret_scan": op3_secret_scan,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
