@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontamination import op8_decontamination
+from .embeddings import op2_embedding_near_dedup
+from .lm import op10_lm_scoring
 from .packing import op1_packing
 from .secrets import op3_secret_scan
 from .simhash import op7_simhash_near_dedup
@@ -10,10 +12,12 @@ from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 #: DuckDB SQL for the queries that SQL can express over whole tables.
