@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from .chat import op6_chat_formatting
 from .decontamination import op8_decontamination
 from .embeddings import op2_embedding_near_dedup
+from .licenses import op4_license_scan
 from .lm import op10_lm_scoring
 from .packing import op1_packing
 from .secrets import op3_secret_scan
 from .simhash import op7_simhash_near_dedup
+from .suffixes import op5_suffix_dedup
 from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_license_scan": op4_license_scan,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
