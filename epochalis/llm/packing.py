@@ -208,11 +208,11 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
                 break
             price = 1.0
         d = inverse @ column
-        ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
-        out = int(ratio.argmin())
-        if not np.isfinite(ratio[out]):
+        ratio = np.where(d > 1e-7, x / np.where(d > 1e-7, d, 1), np.inf)
+        t = ratio.min()
+        if not np.isfinite(t):
             break
-        t = ratio[out]
+        out = int(np.where(ratio <= t + 1e-9, d, 0).argmax())  # of ties, the steadiest pivot
         x = x - t * d
         x[out] = t
         inverse[out] /= d[out]
@@ -220,7 +220,10 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
         inverse[others] -= d[others, None] * inverse[out]
         columns[out], cost[out] = column, price
         if step % 64 == 63:  # rounding errors
-            inverse = np.linalg.inv(np.array(columns, float).T)
+            try:
+                inverse = np.linalg.inv(np.array(columns, float).T)
+            except np.linalg.LinAlgError:  # a basis too near to singular to go on from; x still covers
+                break
             x = np.maximum(inverse @ demand, 0)
     plan, left = [], demand.astype(np.int64).copy()
     for i in range(m):
