@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import BANDS
+from ..functions.pursuit import atoms_of
+from ..functions.reservoirs import EchoState, QuantumReservoir, ridge, run_reservoir
 from ..operators import atoms as A
 from ..operators import dictionary as D
 from ..operators import epochs as E
 from ..operators import intervals as I
 from ..operators import statistics as S
+from ..sources.recordings import clock_seconds, montage
 from ..sources.tables import atoms, read, samples
 
 WIDTH, HOP = 16, 8
@@ -404,3 +407,68 @@ def tvd(spark, d):
   SELECT source, n, pos::bigint AS pos, (CASE WHEN (k // 5) % 2 = 0 THEN k % 5 ELSE 4 - k % 5 END)::int AS fold FROM r""")
 def group_folds(spark, d):
     return S.group_folds(_labelled(spark, d), "source", "quality", 5)
+
+
+# engines and ordered state: no SQL says these; tests hold them against planted signals and plain loops
+@query(None)
+def pursuit(spark, d):
+    """Six atoms of each vector, taken as one second of 64 samples."""
+    signals = read(spark, d, "embeddings").select(F.col("vec_id").alias("epoch_id"), F.lit(0).alias("ch_idx"), F.col("embedding").cast("array<double>").alias("w"))
+    return rounded(atoms_of(signals, 64, 64.0), "epoch_id", "ch_idx", "atom_idx", digits=6)
+
+
+@query(None)
+def denoise(spark, d):
+    """Frames of each recording lose the atoms that the artifact rule flags; overlap-add gives the cleaned samples."""
+    s = samples(spark, d)
+    framed = E.frames(s, WIDTH, HOP)
+    signals = framed.groupBy("rec_id", "frame").agg(F.transform(F.sort_array(F.collect_list(F.struct("offset", "value"))), lambda x: x["value"]).alias("w"))
+    sigma = E.robust_sigma(s, "rec_id", "value")
+    found = atoms_of(signals, WIDTH, 16.0, 3, True, ("rec_id", "frame")).join(sigma, "rec_id")
+    rule = F.struct(F.lit(6.0).alias("f_high"), F.lit(2.0).alias("k_high"), F.lit(1.0).alias("f_low"), F.lit(2.0).alias("k_low"), F.lit(0.08).alias("dt_short"), F.lit(2.0).alias("k_short"))
+    amp = F.aggregate("wave", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+    flagged = found.where(A.artifact_flag(F.col("f_hz"), F.col("dur_s"), amp, F.col("sigma"), rule))
+    waves = flagged.select("rec_id", "frame", F.posexplode("wave").alias("offset", "value")).withColumn("sample_idx", F.col("frame") * HOP + F.col("offset"))
+    estimate = E.overlap_add(waves, WIDTH).select("rec_id", "sample_idx", F.col("value").alias("artifact"))
+    clean = s.join(estimate, ["rec_id", "sample_idx"], "left").withColumn("artifact", F.coalesce("artifact", F.lit(0.0)))
+    return rounded(clean.select("rec_id", "sample_idx", "value", (F.col("value") - F.col("artifact")).alias("cleaned")), "rec_id", "sample_idx")
+
+
+def _inputs(spark, d):
+    return samples(spark, d).select("rec_id", "sample_idx", F.array(F.col("value") / 500).alias("u"), "value")
+
+
+@query(None)
+def esn_states(spark, d):
+    return run_reservoir(_inputs(spark, d), lambda: EchoState(1))
+
+
+@query(None)
+def quantum_reservoir_states(spark, d):
+    return run_reservoir(_inputs(spark, d), lambda: QuantumReservoir(3, 1))
+
+
+@query(None)
+def ridge_readout(spark, d):
+    """Weights of the echo state's one-step forecast."""
+    s = _inputs(spark, d)
+    ahead = I.lagged(s, "rec_id", "sample_idx", "value", [-1]).where("lag_m1 is not null").select("rec_id", "sample_idx", (F.col("lag_m1") / 500).alias("y"))
+    rows = run_reservoir(s, lambda: EchoState(1)).join(ahead, ["rec_id", "sample_idx"])
+    w = ridge(rows.select(F.concat("state", F.array(F.lit(1.0))).alias("x"), "y"), "x", "y", 1e-3)
+    return rounded(spark.createDataFrame([(i, float(v)) for i, v in enumerate(w)], "feature int, weight double"), "feature", digits=6)
+
+
+@query("""WITH x AS (SELECT page_id, regexp_extract(html, '(\\d{1,2})[.:](\\d{2})[.:](\\d{2})', 1) AS h, regexp_extract(html, '(\\d{1,2})[.:](\\d{2})[.:](\\d{2})', 2) AS m, regexp_extract(html, '(\\d{1,2})[.:](\\d{2})[.:](\\d{2})', 3) AS s FROM pages)
+  SELECT page_id, (try_cast(h AS int) * 3600 + try_cast(m AS int) * 60 + try_cast(s AS int))::int AS seconds FROM x""")
+def siena_times(spark, d):
+    """First clock time in each page, as seconds since midnight."""
+    return read(spark, d, "pages").select("page_id", clock_seconds(F.col("html")).alias("seconds"))
+
+
+@query(f"""WITH {_SAMPLES}, e AS (SELECT rec_id, sample_idx // 8 AS epoch, channel, avg(value) AS v FROM samples GROUP BY 1, 2, 3)
+  SELECT a.rec_id, a.epoch AS sample_idx, round(a.v - b.v, 4) + 0.0 AS value FROM e a JOIN e b USING (rec_id, epoch) WHERE a.channel = 'click' AND b.channel = 'view'""")
+def montage_diff(spark, d):
+    """Mean of one channel less another's, by recording and stretch of eight samples."""
+    means = samples(spark, d).groupBy("rec_id", F.floor(F.col("sample_idx") / 8).cast("bigint").alias("sample_idx"), "channel").agg(F.avg("value").alias("value"))
+    pairs = spark.createDataFrame([("click-view", "click", "view")], "channel string, anode string, cathode string")
+    return rounded(montage(means, pairs).select("rec_id", "sample_idx", "value"), "rec_id", "sample_idx")
