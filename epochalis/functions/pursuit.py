@@ -61,7 +61,7 @@ class Engine:
     def refine(self, r: np.ndarray, p: np.ndarray) -> np.ndarray:
         have = captured(r, p, self.fs)
         for k in range(self.rounds):
-            shrink = 0.6**k
+            shrink = 0.8**k
             for axis in range(4):
                 for sign in (1, -1):
                     q = p.copy()
