@@ -2,16 +2,20 @@
 
 1. Every window of LENGTH bytes has an anchor: the least hash of the GRAM-byte
    strings in it. Equal windows have equal anchors, so only windows whose anchor
-   occurs twice or more, in one text or in several, can be repeats. A run of windows with one
-   anchor is a segment; segments, not windows, are shuffled.
-2. Segments with equal bytes collapse to their first occurrence before they are
-   shuffled, so a passage that half the corpus shares is one row.
-3. The segments of an anchor meet in one task. A task sorts the suffixes of its
-   segments by induced sorting: suffixes are classified, leftmost-smaller (LMS)
-   substrings are sorted and named recursively, and the array is induced from
-   them, bucket by bucket in numpy. Permuted common prefixes are computed where
-   they can't be derived from the place before. Suffixes that agree on LENGTH
-   bytes are one window; its first occurrence is kept.
+   occurs twice or more, in one text or in several, can be repeats. A run of
+   windows with one anchor is a segment. Of a segment, its anchor, a hash of its
+   bytes and its place are shuffled, not its bytes.
+2. An anchor whose segments all agree in bytes needs no sorting: its first
+   segment is kept and the others are repeats. Anchors that a bounded sample
+   shows to be frequent are spread over many tasks, and their first segments
+   are found by an aggregation instead.
+3. The other anchors' segments are cut from the texts, collapse to their first
+   occurrences, and meet by anchor. A task sorts the suffixes of its segments by
+   induced sorting: suffixes are classified, leftmost-smaller (LMS) substrings
+   are sorted and named recursively, and the array is induced from them, bucket
+   by bucket in numpy. Permuted common prefixes are computed where they can't
+   be derived from the place before. Suffixes that agree on LENGTH bytes are one
+   window; its first occurrence is kept.
 4. Each text loses the bytes of all its windows that aren't first occurrences.
 """
 
@@ -25,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mixed, powers, prefix_hash, read_table, shuffle_width, text_slices, whole_groups
+from .common import group_starts, materialise, mixed, powers, prefix_hash, read_table, shuffle_width, text_slices, whole_groups
 from .common import _INVERSE as INVERSE
 
 LENGTH, GRAM = 100, 16
 SLICE = 1 << 21
 #: segments of one anchor that a task sorts at most; beyond, each window is a row of its own
 MOST_SEGMENTS = 50_000
+#: documents of the sample that shows frequent anchors, and how many of them must share one; such anchors are dealt to SPREAD tasks
+SAMPLE_DOCS, FREQUENT, SPREAD = 10_000, 100, 64
 #: names up to which a recursive string is sorted as it is; beyond, a name is two digits
 DIGITS = 4096
 
@@ -242,15 +248,67 @@ def anchor_runs(texts: list[bytes], length: int = LENGTH):
     return doc[first], first - base, last - base, anchor, twice
 
 
-def _occurrences(docs: DataFrame, length: int) -> DataFrame:
+def _occurrences(docs: DataFrame, length: int, frequent: list[int] | None = None) -> DataFrame:
+    """``anchor, hash, id, a, b, twice, spread``: a row a segment; ``spread`` is -1 or the part of a frequent anchor."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(frequent or [], np.int64)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        known = shared.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for row, texts in text_slices(batch.column(1), SLICE):
                 doc, a, b, anchor, twice = anchor_runs(texts, length)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[row : row + len(texts)][doc].astype(np.int64)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(twice)], ["anchor", "id", "a", "b", "twice"])
+                digest = [xxh3_64_intdigest(texts[d][x:y]) for d, x, y in zip(doc.tolist(), a.tolist(), (b + length - 1).tolist())]
+                own = ids[row : row + len(texts)][doc].astype(np.int64)
+                spread = np.full(len(doc), -1, np.int32)
+                if len(known):
+                    some = known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor
+                    spread[some] = own[some] % SPREAD
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(own), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(twice), pa.array(spread)], ["anchor", "hash", "id", "a", "b", "twice", "spread"])
+
+    return docs.where("id is not null").mapInArrow(run, "anchor bigint, hash bigint, id bigint, a int, b int, twice boolean, spread int")
+
 
-    return docs.where("id is not null").mapInArrow(run, "anchor bigint, id bigint, a bigint, b bigint, twice boolean")
+REPEAT, FIRST, MIXED, OPEN = 0, 1, 2, 3
+
+
+def _judged(occurrences: DataFrame) -> DataFrame:
+    """Segments whose anchor occurs more than once, with their ``status``: REPEAT, FIRST, MIXED, or OPEN for frequent anchors."""
+    dealt = occurrences.repartition(shuffle_width(occurrences.sparkSession), "anchor", "spread").sortWithinPartitions("anchor", "id", "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["anchor"], 1 << 17):
+            anchor, digest, twice, spread = (table.column(c).to_numpy() for c in ("anchor", "hash", "twice", "spread"))
+            begin = group_starts(anchor)
+            size = np.diff(np.append(begin, len(anchor)))
+            same = np.minimum.reduceat(digest, begin) == np.maximum.reduceat(digest, begin)
+            inner = np.logical_or.reduceat(twice, begin)
+            group = np.where((size == 1) & ~inner, -1, np.where(same & ~inner, REPEAT, MIXED))
+            group = np.where(spread[begin] >= 0, OPEN, group)
+            status = np.repeat(group, size)
+            status[begin[group == REPEAT]] = FIRST
+            keep = np.flatnonzero(status >= 0)
+            part = table.take(pa.array(keep)).drop_columns(["spread"]).combine_chunks()
+            for out in part.append_column("status", pa.array(status[keep].astype(np.int32))).to_batches():
+                yield out
+
+    return dealt.mapInArrow(run, "anchor bigint, hash bigint, id bigint, a int, b int, twice boolean, status int")
+
+
+def _repeated_segments(rows: DataFrame, length: int) -> DataFrame:
+    """``anchor, id, a, b, status`` of the segments that can hold repeats."""
+    n = rows.count()
+    sample = rows if n <= SAMPLE_DOCS else rows.where(F.pmod(F.xxhash64("id"), F.lit(n // SAMPLE_DOCS)) == 0)
+    often = _occurrences(sample, length).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    hits = materialise(_judged(_occurrences(rows, length, [r["anchor"] for r in often.select("anchor").collect()])), "anchor-hits")
+    spread = hits.where(F.col("status") == OPEN)
+    # one row for each frequent anchor of the bounded sample
+    firsts = spread.groupBy("anchor").agg(F.count("*").alias("n"), F.min("hash").alias("lo"), F.max("hash").alias("hi"), F.max("twice").alias("inner"), F.min(F.struct("id", "a")).alias("f"))
+    status = F.when((F.col("lo") == F.col("hi")) & ~F.col("inner"), F.when((F.col("id") == F.col("f.id")) & (F.col("a") == F.col("f.a")), FIRST).otherwise(REPEAT)).otherwise(MIXED)
+    settled = spread.join(F.broadcast(firsts), "anchor").where("n > 1 or inner").select("anchor", "id", "a", "b", status.alias("status"))
+    return hits.where(F.col("status") != OPEN).select("anchor", "id", "a", "b", "status").unionAll(settled)
 
 
 def _first_of_groups(segments: DataFrame, length: int) -> DataFrame:
@@ -298,11 +356,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     that repeat an id must repeat its text, and then get the same result.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
-    occurrences = materialise(_occurrences(rows, length), "anchors")
-    repeated = occurrences.groupBy("anchor").agg((F.count("*") > 1).alias("more"), F.max("twice").alias("twice")).where("more or twice").select("anchor")
-    hits = materialise(occurrences.drop("twice").join(repeated, "anchor"), "anchor-hits")
-    by_doc = hits.groupBy("id").agg(F.collect_list(F.struct("anchor", "a", "b")).alias("hits"))  # bounded by the text
-    held = rows.join(by_doc, "id", "left")
+    hits = _repeated_segments(rows, length)
+    mixed = hits.where(F.col("status") == MIXED).groupBy("id").agg(F.collect_list(F.struct("anchor", "a", "b")).alias("hits"))  # bounded by the text
+    held = rows.join(mixed, "id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,7 +367,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     continue
                 raw, found = batch.column(1)[i].as_py(), batch.column(2)[i].values
                 a, b = found.field("a").to_numpy(), found.field("b").to_numpy()
-                yield pa.RecordBatch.from_arrays([found.field("anchor"), pa.array([batch.column(0)[i].as_py()] * len(a), pa.int64()), found.field("a"), pa.array([raw[x : y + length - 1] for x, y in zip(a, b)], pa.binary())], ["anchor", "id", "a", "segment"])
+                yield pa.RecordBatch.from_arrays([found.field("anchor"), pa.array([batch.column(0)[i].as_py()] * len(a), pa.int64()), pa.array(a.astype(np.int64)), pa.array([raw[x : y + length - 1] for x, y in zip(a, b)], pa.binary())], ["anchor", "id", "a", "segment"])
 
     segments = held.mapInArrow(cut, "anchor bigint, id bigint, a bigint, segment binary")
     distinct = segments.groupBy("anchor", "segment").agg(F.min(F.struct("id", "a")).alias("f")).select("anchor", "f.id", "f.a", "segment")
@@ -319,7 +375,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     large = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > MOST_SEGMENTS).select("anchor")
     first = _first_of_groups(distinct.join(large, "anchor", "left_anti"), length).unionAll(_windows(distinct.join(large, "anchor", "left_semi"), length))
     first = materialise(first, "first-windows").groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("first"))
-    spans = by_doc.select("id", F.transform("hits", lambda h: F.struct(h["a"].alias("a"), h["b"].alias("b"))).alias("hits")).join(first, "id", "left")
+    by_doc = hits.groupBy("id").agg(F.collect_list(F.struct("a", "b", (F.col("status") != FIRST).alias("again"))).alias("hits"))
+    spans = by_doc.join(first, "id", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,10 +387,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rest, removed, count = raw, 0, 0
                 if hit.is_valid and n >= length:
                     again = np.zeros(n + 1, bool)
-                    for ranges, value in ((hit, True), (fresh, False)):
-                        if ranges.is_valid:
-                            for a, b in zip(ranges.values.field("a").to_numpy(), ranges.values.field("b").to_numpy()):
-                                again[a:b] = value
+                    for a, b, value in zip(*(hit.values.field(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "again"))):
+                        again[a:b] = value
+                    if fresh.is_valid:
+                        for a, b in zip(fresh.values.field("a").to_numpy(), fresh.values.field("b").to_numpy()):
+                            again[a:b] = False
                     edge = np.flatnonzero(again[1:] != again[:-1]) + 1
                     edge = np.concatenate(([0], edge)) if again[0] else edge
                     step = np.zeros(n + length + 1, np.int64)
