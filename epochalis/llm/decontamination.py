@@ -164,8 +164,8 @@ def n_hit(runs) -> F.Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows of ``docs`` that hold no benchmark window, with their columns as they were; needs no shuffle."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return contamination(docs, benchmark, window=window, keep=rest).where(F.size("runs") == 0).select(docs.columns)
+    held = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    return contamination(held, benchmark, window=window, keep=["_row"]).where(F.size("runs") == 0).select("_row.*")
 
 
 def without_spans(text: str | None, runs: list[tuple[int, int]]) -> str:
@@ -181,14 +181,14 @@ def without_spans(text: str | None, runs: list[tuple[int, int]]) -> str:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with every hit word run cut out of ``text``; other columns stay."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    found = contamination(docs, benchmark, window=window, keep=rest)
+    held = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    found = contamination(held, benchmark, window=window, keep=["_row"])
 
     @F.pandas_udf("string")
     def cut(text, runs):
         return text.combine(runs, lambda t, r: t if r is None or not len(r) else without_spans(t, [(x["a"], x["b"]) for x in r]))
 
-    return found.withColumn("text", cut("text", "runs")).select(docs.columns)
+    return found.withColumn("_row", F.col("_row").withField("text", cut(F.col("_row.text"), F.col("runs")))).select("_row.*")
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
