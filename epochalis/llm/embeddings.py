@@ -23,7 +23,7 @@ from .common import connected_components, group_starts, link_labels, materialise
 
 THRESHOLD = 0.98
 PIVOTS, PREFIX, SHARED = 96, 8, 3
-#: rows from which pivots are drawn, first in the order of a hash
+#: about how many rows pivots are drawn from (at most twice as many), chosen by a hash
 SAMPLE = 4096
 #: rows of one block of an inverted list; a longer list is cut into blocks, and each pair of blocks is a task of its own
 BLOCK = 1024
@@ -41,9 +41,10 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 def pivots_of(entries: DataFrame, n: int, sample: int) -> dict[int, np.ndarray]:
     """Length -> pivots: the first of the sample, then always the sample vector farthest from those taken."""
-    rows = entries.orderBy(F.xxhash64("vector"), "rep").limit(sample).select("vector").collect()
+    share = max(1, entries.count() // sample)
+    rows = entries.where(F.pmod(F.xxhash64("vector"), F.lit(share)) == 0).select("rep", "vector").limit(2 * sample).collect()
     by_size: dict[int, list] = {}
-    for r in rows:
+    for r in sorted(rows, key=lambda r: r["rep"]):
         by_size.setdefault(len(r["vector"]), []).append(r["vector"])
     out = {}
     for size, vectors in by_size.items():
