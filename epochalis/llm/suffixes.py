@@ -33,7 +33,7 @@ from .common import group_starts, materialise, mixed, powers, prefix_hash, read_
 from .common import _INVERSE as INVERSE
 
 LENGTH, GRAM = 100, 16
-SLICE = 1 << 21
+SLICE = 1 << 19
 #: segments of one anchor that a task sorts at most; beyond, each window is a row of its own
 MOST_SEGMENTS = 50_000
 #: documents of the sample that shows frequent anchors, and how many of them must share one; such anchors are dealt to SPREAD tasks
@@ -279,7 +279,7 @@ def _judged(occurrences: DataFrame) -> DataFrame:
     dealt = occurrences.repartition(shuffle_width(occurrences.sparkSession), "anchor", "spread").sortWithinPartitions("anchor", "id", "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["anchor"], 1 << 17):
+        for table in whole_groups(batches, ["anchor"], 1 << 15):
             anchor, digest, twice, spread = (table.column(c).to_numpy() for c in ("anchor", "hash", "twice", "spread"))
             begin = group_starts(anchor)
             size = np.diff(np.append(begin, len(anchor)))
@@ -316,7 +316,7 @@ def _first_of_groups(segments: DataFrame, length: int) -> DataFrame:
     dealt = segments.repartition(shuffle_width(segments.sparkSession), "anchor").sortWithinPartitions("anchor", "id", "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["anchor"], 12_000):
+        for table in whole_groups(batches, ["anchor"], 4_000):
             table = table.sort_by([("id", "ascending"), ("a", "ascending")])
             raw = table.column("segment").to_pylist()
             size = np.array([len(s) for s in raw])
