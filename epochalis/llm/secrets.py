@@ -22,17 +22,19 @@ from .common import materialise, read_table
 
 _NAME = r"(?=[abcpstABCPST])(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?|bearer)"
 _ASSIGN = _NAME + r"[A-Za-z0-9_.-]{0,24}[\"']?\s{0,2}(?:=>|:=|[:=])\s{0,2}[\"']?"
-_VALUE = r"[^\s\"'`,;<>|]{4,256}"
-#: kind -> pattern, tried in this order wherever no letter or digit stands before
+_VALUE = r"[^\s\"'`,;<>|]{4,}+"
+#: kind -> pattern, tried in this order; none has a longest length, and classes are possessive, so that a long value costs one pass
 KINDS = {
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{1,8000}-----END [A-Z ]{0,20}PRIVATE KEY-----",
+    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s:,._]++(?:-[A-Za-z0-9+/=\s:,._]++)*+-----END [A-Z ]{0,20}PRIVATE KEY-----",
     "aws_key_id": r"A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "prefixed_token": r"(?=[gxsrA])(?:gh[pousr]_[A-Za-z0-9]{30,255}|xox[abprs]-[A-Za-z0-9-]{10,250}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,250}|AIza[0-9A-Za-z_-]{35})",
-    "jwt": r"eyJ[A-Za-z0-9_-]{8,2000}\.eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,2000}",
+    "prefixed_token": r"(?=[gxsrA])(?:gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+|AIza[0-9A-Za-z_-]{35})",
+    "jwt": r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
     "assigned": _ASSIGN + _VALUE,
-    "generic": r"(?=[A-Za-z0-9+/_=-]{16})(?=[A-Za-z+/_=-]{0,500}[0-9])[A-Za-z0-9+/_=-]{16,512}",
+    "generic": r"(?=[A-Za-z0-9+/_=-]{16})(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+",
 }
-CANDIDATE = r"(?<![A-Za-z0-9])(?:" + "|".join(KINDS.values()) + ")"
+#: names and PEM headers may follow a letter; a generic run is tried at its first character or where the last candidate ended
+_BEFORE = {"private_key": "", "assigned": "", "generic": r"(?:(?<![A-Za-z0-9+/_=-])|\G)"}
+CANDIDATE = "(?:" + "|".join(_BEFORE.get(k, "(?<![A-Za-z0-9])") + p for k, p in KINDS.items()) + ")"
 #: words of ordinary identifiers and prose, for dictionary coverage
 DICTIONARY = "about access account after alpha application archive array author backup before beta branch build button cache change check class client cloud code column config content count country create data date default delete demo detail device document download dummy email enable error event example field file filter first folder format function global group header hello hidden image import index input insert item label last layout length level library license light limit link list local login main message method model module month name network null number object option order output package page param password path pattern placeholder please point private process product profile project public query random record release remove report request required response result return root sample schema screen script search secret select server service session setting should simple source start state static status string style submit sample switch system table target task temp test text theme there this time title token total type undefined update upload user value version video view visible warning week when window with word world write year your".split()
 _SECRET_WORDS = r"(?i)(?:key|token|secret|passw|pwd|credential|auth|login|bearer)"
