@@ -31,7 +31,7 @@ SENTENCES = {
     "MITPerm": r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files.*",
     "MITNotice": r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "AsIs": r"(?:the|this) software is provided (?:by .{1,80})?as is.*",
-    "NoLiability": r"in no event shall .{1,400}",
+    "NoLiability": r"in no event shall .+",
     "ApacheRef": r"(?:this .{0,60}is )?(?:licensed|released|distributed) under the apache license version 2\.0(?: the license.*)?",
     "ApacheTitle": r"apache license(?: version 2\.0.*)?",
     "ApacheUse": r"you may not use this file except in compliance with the license",
@@ -52,7 +52,7 @@ SENTENCES = {
     "BSDBinary": r"redistributions in binary form must reproduce the above copyright notice.*",
     "BSDEndorse": r"neither the name of .{1,200}may be used to endorse or promote products.*",
     "BSDRef": r"(?:this .{0,60}is )?(?:licensed|released|distributed) under (?:the|a) (?:3-clause )?bsd(?: 3-clause)?(?:-style)?(?: license)?",
-    "MPL2Ref": r"this source code form is subject to the terms of the mozilla public license v\. ?2\.0",
+    "MPL2Ref": r"this source code form is subject to the terms of the mozilla public license v\.? ?2\.0",
     "Proprietary": r"(?:proprietary|confidential)(?: and (?:proprietary|confidential))?",
 }
 #: fixed values: rules in order; a rule is a sequence of identifiers, ``?`` marks one that may lack
@@ -88,9 +88,22 @@ RULES = (
 SIGNS = r"(?i:licen[sc]e|copyright|all rights reserved|permission is hereby|public domain|redistribut|cc0|proprietary|confidential|software is provided|in no event shall|free software|hope that it will|mit license|neither the name)"
 
 
+#: comment marks at the beginnings and ends of lines
+COMMENT = r"(?m)^[ \t]*(?:/\*+|\*+/|\*+(?=[ \t]|$)|//+|#+|--(?= )|<!--|dnl\b)[ \t]*|[ \t]*(?:\*+/|-->)[ \t]*$"
+#: a line end inside a sentence: the line is not short and no sentence ends there, and the next is no list item and no known beginning
+WRAP = r"(?<=[^\n]{40})(?<!(?<!\b[vV])[.!?:])(?<!SPDX-License-Identifier: [^\n]{1,40})[ \t]*\n[ \t]*(?=\S)(?!(?:[*\-]|\d+[.)]) |Licensed |Released |Distributed |Copyright |SPDX-|All rights |Permission is |Redistribution |Proprietary|Confidential|This )"
+
+
 def sentences(text: Column) -> Column:
-    """Sentences of a text that show a sign of licence language, cut at line ends and at full stops before a blank."""
-    parts = F.split(text, r"[\n\r]+|(?<=[.!?;])\s+")
+    """Sentences of a text that show a sign of licence language.
+
+    Comment marks at the beginnings of lines go; a line is joined with the one before
+    unless that is blank or a whole sentence, or the line starts a list item or a known
+    title. Sentences end at full stops before a blank, but not after ``v.`` or at ``;``.
+    """
+    bare = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), COMMENT, "")
+    joined = F.regexp_replace(bare, WRAP, " ")
+    parts = F.split(joined, r"\n+|(?<=[.!?])(?<!\b[vV]\.)\s+|(?<=;)\s+(?=Licensed |Released |Distributed |Copyright |All rights )")
     return F.filter(parts, lambda s: s.rlike(SIGNS))
 
 
