@@ -105,8 +105,8 @@ def mine_features(sample: DataFrame) -> list[tuple[str, float]]:
 
 def patterns(text: str, n_words: int, n_hits: int, n_kinds: int) -> list[bool]:
     """Pattern voters."""
-    letters = sum(map(str.isalpha, text[:4096])) + 1
-    shout = sum(map(str.isupper, text[:4096])) / letters > 0.5
+    letters = sum(map(str.isalpha, text)) + 1
+    shout = sum(map(str.isupper, text)) / letters > 0.5
     return [n_hits >= 1, n_hits >= 2, n_kinds >= 2, n_kinds >= 4, 50 * n_hits >= n_words > 0, 150 * n_hits >= n_words > 0, "!!" in text, shout]
 
 
