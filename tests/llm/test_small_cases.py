@@ -167,12 +167,32 @@ def test_suffixes(spark, monkeypatch, frequent, most):
 
 def test_suffix_array():
     rng = np.random.default_rng(4)
-    for digits in (4096, 3):
-        suffixes.DIGITS = digits
-        for _ in range(60):
-            t = np.append(rng.integers(1, int(rng.integers(2, 6)), int(rng.integers(1, 200))), 0)
-            assert suffixes.suffix_array(t, 6).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
-    suffixes.DIGITS = 4096
+    for _ in range(150):
+        t = np.append(rng.integers(1, int(rng.integers(2, 6)), int(rng.integers(1, 200))), 0)
+        assert suffixes.suffix_array(t, 6).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+
+
+def test_first_windows():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        segments = [bytes(rng.integers(97, 97 + int(rng.integers(1, 4)), int(rng.integers(7, 60)), np.uint8)) for _ in range(int(rng.integers(1, 30)))]
+        seen, want, at = set(), [], 0
+        for s in segments:
+            for k in range(len(s) - 6):
+                if s[k : k + 7] not in seen:
+                    seen.add(s[k : k + 7])
+                    want.append(at + k)
+            at += len(s) + 1
+        assert sorted(suffixes.first_windows(segments, 7).tolist()) == want
+
+
+def test_suffixes_repeated_rows_and_null_ids(spark):
+    rng = np.random.default_rng(8)
+    one, two = (bytes(rng.integers(97, 123, n, np.uint8)).decode() for n in (400, 300))
+    df = spark.createDataFrame([(1, one), (1, one), (2, one), (2, two), (None, two), (None, two), (3, None)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffixes.remove_repeats(df).collect()), key=str)
+    assert got == sorted([(1, 400, 0), (1, 400, 0), (2, 400, 400), (2, 300, 0), (None, 300, 300), (None, 300, 300), (3, 0, 0)], key=str)
+    assert suffixes.remove_repeats(df.limit(0)).count() == 0
 
 
 # --- op6
