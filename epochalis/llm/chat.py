@@ -2,8 +2,9 @@
 
 A record's nested field paths (arrays marked ``[]``) are hashed; the fingerprint
 selects a declarative mapping that turns the record into canonical turns
-(role, text). Mappings name the paths they need, so a fingerprint seen for the
-first time is resolved once by its paths and then found in a dictionary. The
+(role, text). Mappings declare their layouts, whose fingerprints are known
+beforehand; a layout with more fields is resolved once by the paths that a
+mapping needs and then found by its fingerprint. The
 template marks turns, escapes its own control strings inside texts so that the
 original can be read back exactly, and marks assistant texts for the loss.
 """
@@ -51,6 +52,11 @@ class Mapping:
         head = f"{self.turns}[]." if self.turns else ""
         return {head + self.role, head + self.text}
 
+    def layouts(self) -> list[set[str]]:
+        """The path sets that the mapping declares: what it needs, with any of what may lack."""
+        may = [p[:-1] for _, paths in self.fixed for p in paths if p.endswith("?")]
+        return [self.needs() | {p for i, p in enumerate(may) if k >> i & 1} for k in range(1 << len(may))]
+
 
 _SPEAKERS = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 #: tried in this order for a fingerprint that is new
@@ -90,10 +96,11 @@ def fingerprint(paths: set[str]) -> str:
 
 
 class Layouts:
-    """Fingerprint -> mapping; an unknown fingerprint is resolved by its paths once."""
+    """Fingerprint -> mapping: the declared layouts; one with more fields than declared is resolved by its paths once."""
 
     def __init__(self, mappings=MAPPINGS):
-        self.mappings, self.known = mappings, {}
+        self.mappings = mappings
+        self.known = {fingerprint(paths): m for m in reversed(mappings) for paths in m.layouts()}
 
     def mapping(self, paths: set[str]) -> Mapping | None:
         key = fingerprint(paths)
@@ -105,7 +112,9 @@ class Layouts:
 def _as_text(value) -> str:
     if value is None:
         return ""
-    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    # a lone surrogate, which JSON can spell, has no UTF-8 form
+    return text if text.isascii() else text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
 def _at(record: dict, path: str):
@@ -167,7 +176,9 @@ def format_records(records: DataFrame, json_col: str, id_col: str) -> DataFrame:
 
     ``id_col, layout, fingerprint, n_turns, formatted, loss`` with ``loss`` the
     array of spans (code points) under the loss mask. A record that is null, not
-    an object or of no known layout has a null ``layout`` and an empty text.
+    an object, nested too deeply to read or of no known layout has a null
+    ``layout`` and an empty text; a lone surrogate becomes U+FFFD. Repeated rows
+    are formatted alike, and other columns don't matter.
     """
     loss_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -178,11 +189,11 @@ def format_records(records: DataFrame, json_col: str, id_col: str) -> DataFrame:
             for raw in batch.column(1).to_pylist():
                 try:
                     record = json.loads(raw) if raw else None
-                except ValueError:
-                    record = None
-                paths = value_paths(record) if isinstance(record, dict) else set()
-                mapping = layouts.mapping(paths) if paths else None
-                turns = canonical_turns(record, mapping) if mapping else []
+                    paths = value_paths(record) if isinstance(record, dict) else set()
+                    mapping = layouts.mapping(paths) if paths else None
+                    turns = canonical_turns(record, mapping) if mapping else []
+                except (ValueError, RecursionError):
+                    paths, mapping, turns = set(), None, []
                 text, spans = "", []
                 for role, body in turns:
                     piece, a, b = format_turn(role, body)
@@ -203,7 +214,8 @@ def format_rows(rows: DataFrame, mappings=MAPPINGS) -> DataFrame:
 
     Adds ``role``, ``formatted`` and the span ``loss_start, loss_end`` to each
     row; a conversation's formatted text is its rows' in order, so that one of
-    any length needs no task to hold it.
+    any length needs no task to hold it. Columns of those names that ``rows``
+    already has are replaced.
     """
     mapping = Layouts(mappings).mapping(schema_paths(rows.schema))
     if mapping is None or not mapping.row:
@@ -216,7 +228,7 @@ def format_rows(rows: DataFrame, mappings=MAPPINGS) -> DataFrame:
             done = [format_turn(r, _as_text(t)) for r, t in zip(roles, batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(roles, pa.string()), pa.array([d[0] for d in done], pa.string()), *(pa.array([d[k] for d in done], pa.int64()) for k in (1, 2)), *batch.columns[2:]], ["role", "formatted", "loss_start", "loss_end", *batch.schema.names[2:]])
 
-    rest = [f for f in rows.schema if f.name not in (mapping.role, mapping.text)]
+    rest = [f for f in rows.schema if f.name not in (mapping.role, mapping.text) and f.name.lower() not in ("role", "formatted", "loss_start", "loss_end")]
     schema = T.StructType([T.StructField("role", T.StringType()), T.StructField("formatted", T.StringType()), T.StructField("loss_start", T.LongType()), T.StructField("loss_end", T.LongType()), *rest])
     return rows.select(F.col(mapping.role), F.col(mapping.text), *[f.name for f in rest]).mapInArrow(run, schema)
 

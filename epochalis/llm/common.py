@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 def scratch_dir(spark: SparkSession) -> str:
     """Folder shared by all executors, from ``spark.checkpoint.dir``.
 
-    A private folder is chosen only where the session names none (local tests).
+    A private folder is chosen only in local mode where the session names none (tests).
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="epochalis-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -46,6 +48,17 @@ def shuffle_width(spark: SparkSession) -> int:
 MAP_WORDS = 1 << 18
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def parted(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
     """``docs`` in two: those that may be among ``ids(id)``, and those that are surely not.
 
@@ -55,8 +68,10 @@ def parted(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, Dat
     bits = ids.select(place(F.col("id").cast("bigint")).alias("p")).select(F.shiftright("p", 6).alias("_word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit")).groupBy("_word").agg(F.bit_or("bit").alias("_bits"))
     bits = materialise(bits, "id-map")
     at = place(F.col(id_col).cast("bigint"))
-    held = docs.withColumn("_place", at).withColumn("_word", F.shiftright("_place", 6)).join(F.broadcast(bits), "_word", "left")
-    marked = F.coalesce(F.expr("shiftrightunsigned(_bits, cast(_place & 63 as int)) & 1"), F.lit(0)) == 1
+    p, w, b = free_names(docs, "_place", "_word", "_bits")
+    bits = bits.select(F.col("_word").alias(w), F.col("_bits").alias(b))
+    held = docs.withColumn(p, at).withColumn(w, F.shiftright(p, 6)).join(F.broadcast(bits), w, "left")
+    marked = F.coalesce(F.expr(f"shiftrightunsigned({b}, cast({p} & 63 as int)) & 1"), F.lit(0)) == 1
     return held.where(marked).select(docs.columns), held.where(~marked).select(docs.columns)
 
 

@@ -9,7 +9,6 @@ over the same rows, so what is broadcast never grows with the tables.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,7 +119,7 @@ def gram_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int,
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS, keep: list[str] | None = None) -> DataFrame:
-    """``id_col, n_words, runs, items`` and the columns in ``keep``, a row for each row of ``docs``.
+    """``id_col, n_words, runs, items`` and the columns in ``keep`` (``text_col`` itself may be one), a row for each row of ``docs``.
 
     ``runs`` are maximal half-open runs of hit word numbers, ``items`` the sorted
     names of the benchmark items with a window in the text. Null and empty texts
@@ -130,7 +129,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     keep = keep or []
-    cur = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.lit(0).cast("bigint").alias("_n"), F.expr("cast(array() as array<struct<a: bigint, b: bigint>>)").alias("_runs"), F.expr("cast(array() as array<string>)").alias("_items"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
+    rest = [c for c in keep if c != text_col]
+    cur = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.lit(0).cast("bigint").alias("_n"), F.expr("cast(array() as array<struct<a: bigint, b: bigint>>)").alias("_runs"), F.expr("cast(array() as array<string>)").alias("_items"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(rest)])
     schema = cur.schema
     runs_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
     for block in gram_blocks(benchmark, item_col, item_text, window, block_chars):
@@ -155,7 +155,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
         cur = cur.mapInArrow(run, schema)
-    return cur.select(F.col("_id").alias(id_col), F.col("_n").alias("n_words"), F.col("_runs").alias("runs"), F.col("_items").alias("items"), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
+    name = {c: f"_k{i}" for i, c in enumerate(rest)} | {text_col: "_text"}
+    return cur.select(F.col("_id").alias(id_col), F.col("_n").alias("n_words"), F.col("_runs").alias("runs"), F.col("_items").alias("items"), *[F.col(name[c]).alias(c) for c in keep])
 
 
 def n_hit(runs) -> F.Column:
@@ -163,9 +164,14 @@ def n_hit(runs) -> F.Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows of ``docs`` that hold no benchmark window, with their columns as they were; needs no shuffle."""
-    held = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
-    return contamination(held, benchmark, window=window, keep=["_row"]).where(F.size("runs") == 0).select("_row.*")
+    """Rows of ``docs`` that hold no benchmark window, with their columns as they were; needs no shuffle.
+
+    Null and empty texts have no words and stay; each repeated row is judged by
+    itself; an empty table, or an empty benchmark, changes nothing.
+    """
+    held = docs.select(F.col("doc_id").alias("_of"), "text", F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("_row"))
+    kept = contamination(held, benchmark, "_of", window=window, keep=["_row", "text"]).where(F.size("runs") == 0)
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def without_spans(text: str | None, runs: list[tuple[int, int]]) -> str:
@@ -195,7 +201,3 @@ def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     out = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     names = F.concat_ws(",", F.array_sort("items"))
     return out.select("doc_id", "n_words", n_hit("runs").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"))
-
-
-def digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()

@@ -18,7 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import free_names, materialise, read_table
 
 _NAME = r"(?=[abcpstABCPST])(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?|bearer)"
 _ASSIGN = _NAME + r"[A-Za-z0-9_.-]{0,24}[\"']?\s{0,2}(?:=>|:=|[:=])\s{0,2}[\"']?"
@@ -42,7 +42,8 @@ _PLAIN_WORDS = r"(?i)(?:commit|revision|sha|hash|md5|checksum|digest|uuid|guid|e
 _PLACEHOLDER = r"(?i)(?:example|sample|dummy|placeholder|change_?me|your[_-]|xxxx|\*\*\*\*|\.\.\.\.|\$\{|\{\{|%s|todo|none|null|undefined|true|false|required|optional|os\.environ|getenv|process\.env)"
 _CLASSES = ("aeiouAEIOUbcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ0123456789", "v" * 5 + "V" * 5 + "c" * 21 + "C" * 21 + "9" * 10)
 _STEPS = ["vc", "cv", "cc", "vv", "c9", "9c", "v9", "9v", "99", "C9", "9C", "CC", "cC", "Cc"]
-LEFT, RIGHT = 48, 24
+#: whole words taken from either side of a candidate
+LEFT, RIGHT = 4, 3
 
 
 def numbers(value: Column, left: Column, right: Column, kind: Column) -> list[tuple[str, Column]]:
@@ -52,8 +53,6 @@ def numbers(value: Column, left: Column, right: Column, kind: Column) -> list[tu
     count = lambda column, pattern: F.regexp_count(column, F.lit(pattern)).cast("double")
     flag = lambda column, pattern: column.rlike(pattern).cast("double")
     words = "(?:" + "|".join(DICTIONARY) + ")"
-    left_words = F.regexp_extract(left, r"((?:[^\s]+\s+){0,3}[^\s]*)$", 1)
-    right_words = F.regexp_extract(right, r"^([^\s]*(?:\s+[^\s]+){0,2})", 1)
     return [
         ("length", n),
         ("distinct", F.size(F.array_distinct(F.split(value, ""))) / n),
@@ -68,18 +67,18 @@ def numbers(value: Column, left: Column, right: Column, kind: Column) -> list[tu
         ("dots", count(value, r"[._-]") / n),
         ("path", flag(F.concat(left, value), r"(?:https?://|[A-Za-z]:\\|\.{0,2}/)[^\s]*$")),
         ("placeholder", flag(value, _PLACEHOLDER)),
-        ("left_secret", flag(left_words, _SECRET_WORDS)),
-        ("left_plain", flag(left_words, _PLAIN_WORDS)),
-        ("right_plain", flag(right_words, _PLAIN_WORDS)),
+        ("left_secret", flag(left, _SECRET_WORDS)),
+        ("left_plain", flag(left, _PLAIN_WORDS)),
+        ("right_plain", flag(right, _PLAIN_WORDS)),
         *[(f"kind_{k}", (kind == k).cast("double")) for k in KINDS],
     ]
 
 
-def with_candidates(docs: DataFrame, text_col: str) -> DataFrame:
-    """Adds ``_cands`` and ``_gaps``: the texts before, between and after the candidates (one more)."""
+def with_candidates(docs: DataFrame, text_col: str, cands: str = "_cands", gaps: str = "_gaps") -> DataFrame:
+    """Adds the candidates, and the texts before, between and after them (one more)."""
     text = F.col(text_col)
-    held = docs.withColumn("_cands", F.coalesce(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.array().cast("array<string>")))
-    return held.withColumn("_gaps", F.when(F.size("_cands") > 0, F.split(text, CANDIDATE, -1)).otherwise(F.array(F.coalesce(text, F.lit("")))))
+    held = docs.withColumn(cands, F.coalesce(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.array().cast("array<string>")))
+    return held.withColumn(gaps, F.when(F.size(cands) > 0, F.split(text, CANDIDATE, -1)).otherwise(F.array(F.coalesce(text, F.lit("")))))
 
 
 def described(found: Column, gaps: Column) -> Column:
@@ -94,8 +93,10 @@ def described(found: Column, gaps: Column) -> Column:
         kind = kind_of(c)
         value = F.when(kind == "assigned", F.regexp_replace(c, "^" + _ASSIGN, "")).otherwise(c)
         own = F.when(kind == "assigned", F.regexp_extract(c, "^(" + _ASSIGN + ")", 1)).otherwise("")
-        left = F.concat(F.right(F.get(gaps, i), F.lit(LEFT)), own)
-        return F.struct(kind.alias("kind"), (F.get(after, i + 1) - F.length(value)).alias("start"), value.alias("value"), left.alias("left"), F.left(F.get(gaps, i + 1), F.lit(RIGHT)).alias("right"))
+        blanks = lambda c: F.translate(c, "\n\r\t", "   ")
+        left = F.concat(F.substring_index(blanks(F.get(gaps, i)), " ", -LEFT), own)
+        right = F.substring_index(blanks(F.get(gaps, i + 1)), " ", RIGHT)
+        return F.struct(kind.alias("kind"), (F.get(after, i + 1) - F.length(value)).alias("start"), value.alias("value"), left.alias("left"), right.alias("right"))
 
     def measured(b: Column) -> Column:
         return F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["value"].alias("value"), F.array(*[x for _, x in numbers(b["value"], b["left"], b["right"], b["kind"])]).alias("x"))
@@ -194,16 +195,17 @@ def vote_share(rule: dict[str, list], x: Column, depth: int = 8) -> Column:
     return F.aggregate(held["root"], F.lit(0.0), lambda total, root: total + F.get(held["vote"], leaf(root))) / float(len(rule["root"]))
 
 
-def scan(docs: DataFrame, rule: dict[str, list], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``_gaps`` and ``_found``: array of ``kind, start, value, score, is_secret``.
+def scan(docs: DataFrame, rule: dict[str, list], text_col: str = "text", threshold: float = 0.5, names: tuple[str, ...] = ("_cands", "_gaps", "_found")) -> DataFrame:
+    """``docs`` with candidates, gaps and findings: array of ``kind, start, value, score, is_secret``. ``names`` must be free.
 
     A null or empty text has no candidates. ``start`` counts characters from 0.
     Rows are kept as they are, repeated or not, and nothing is shuffled.
     """
-    described_ = with_candidates(docs, text_col).withColumn("_found", described(F.col("_cands"), F.col("_gaps")))
-    scored = F.transform("_found", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["value"].alias("value"), vote_share(rule, c["x"]).alias("score")))
-    judged = F.transform("_found", lambda c: c.withField("is_secret", c["score"] >= threshold))
-    return described_.withColumn("_found", scored).withColumn("_found", judged)
+    cands, gaps, found = names
+    described_ = with_candidates(docs, text_col, cands, gaps).withColumn(found, described(F.col(cands), F.col(gaps)))
+    scored = F.transform(found, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["value"].alias("value"), vote_share(rule, c["x"]).alias("score")))
+    judged = F.transform(found, lambda c: c.withField("is_secret", c["score"] >= threshold))
+    return described_.withColumn(found, scored).withColumn(found, judged)
 
 
 def default_rule(spark: SparkSession) -> dict[str, list]:
@@ -218,11 +220,16 @@ def findings(docs: DataFrame, rule: dict[str, list], id_col: str = "doc_id", tex
 
 
 def redact(docs: DataFrame, rule: dict[str, list], mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each secret in ``text`` replaced by ``mark``; every row and column stays, clean texts as they were."""
-    rows = scan(docs, rule)
-    parts = F.zip_with(F.slice("_gaps", 2, F.size("_cands")), F.zip_with("_cands", "_found", lambda c, f: F.when(f["is_secret"], F.concat(F.left(c, F.length(c) - F.length(f["value"])), F.lit(mark))).otherwise(c)), lambda g, c: F.concat(c, g))
-    whole = F.concat(F.get("_gaps", F.lit(0)), F.array_join(parts, ""))
-    return rows.withColumn("text", F.when(F.exists("_found", lambda f: f["is_secret"]), whole).otherwise(F.col("text"))).select(docs.columns)
+    """``docs`` with each secret in ``text`` replaced by ``mark``; every row and column stays, clean texts as they were.
+
+    Null and empty texts stay so, repeated rows are redacted alike, an empty
+    table stays empty, and columns may have any name.
+    """
+    cands, gaps, found = names = free_names(docs, "_cands", "_gaps", "_found")
+    rows = scan(docs, rule, names=tuple(names))
+    parts = F.zip_with(F.slice(gaps, 2, F.size(cands)), F.zip_with(cands, found, lambda c, f: F.when(f["is_secret"], F.concat(F.left(c, F.length(c) - F.length(f["value"])), F.lit(mark))).otherwise(c)), lambda g, c: F.concat(c, g))
+    whole = F.concat(F.get(gaps, F.lit(0)), F.array_join(parts, ""))
+    return rows.withColumn("text", F.when(F.exists(found, lambda f: f["is_secret"]), whole).otherwise(F.col("text"))).select(docs.columns)
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:

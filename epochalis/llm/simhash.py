@@ -46,6 +46,14 @@ def text_fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(a), bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is in over half the hashes."""
+    counts = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 1 << 15):
+        counts += np.unpackbits(hashes[lo : lo + (1 << 15)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """``(id_col, fp)``: fp is the fingerprint's 64 bits as a signed long.
 
@@ -193,6 +201,6 @@ def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate class."""
+    """Keeps the document with the smallest id of each class of fingerprints at ``most`` or fewer differing bits; a row without an id stays."""
     kept = near_duplicates(docs, words=words, most=most).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").unionAll(docs.where("doc_id is null"))

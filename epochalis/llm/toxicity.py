@@ -2,12 +2,13 @@
 
 1. From a bounded sample of labelled training rows, words and word beginnings
    that toxic texts hold more often than others are counted by Spark and kept
-   where the excess is clear; they are dealt into many lexicon voters, beside
-   pattern voters (density of hits, shouting, marks, repetition).
-2. A generative label model (a latent class with the given label as one more
-   voter) estimates by EM how often each voter speaks in either class, and from
-   what is left unexplained how far voters repeat each other; correlated voters
-   count for less. It gives each sample row a posterior probability.
+   where the excess is clear; they are dealt into lexicon voters, which speak
+   from a density of hits on, beside pattern voters (shouting, marks).
+2. A generative label model (a latent class; the given label is one more voter)
+   starts from the lexicons' majority and estimates by EM how often each voter
+   speaks in either class, the label too, and from what is left unexplained how
+   far voters repeat each other; correlated voters count for less. It gives each
+   sample row a posterior probability.
 3. A linear classifier on counts of the kept words, trained on the posteriors,
    scores every text whole, in one pass without a shuffle.
 """
@@ -31,7 +32,7 @@ MAX_TOXIC, MAX_CLEAN = 6_000, 12_000
 MAX_FEATURES = 6_000
 #: least standard errors by which a word must favour toxic texts
 LEAST_Z = 2.4
-GROUPS = 16
+GROUPS = 8
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -103,53 +104,66 @@ def mine_features(sample: DataFrame) -> list[tuple[str, float]]:
     return [(r["feature"], r["odds"]) for r in found.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()]
 
 
-def patterns(text: str, n_words: int, n_hits: int, n_kinds: int) -> list[bool]:
-    """Pattern voters."""
+def patterns(text: str) -> list[bool]:
+    """Pattern voters, over whole texts: shouting and marks."""
     letters = sum(map(str.isalpha, text)) + 1
-    shout = sum(map(str.isupper, text)) / letters > 0.5
-    return [n_hits >= 1, n_hits >= 2, n_kinds >= 2, n_kinds >= 4, 50 * n_hits >= n_words > 0, 150 * n_hits >= n_words > 0, "!!" in text, shout]
+    return [sum(map(str.isupper, text)) / letters > 0.5, "!!" in text]
 
 
-def votes_of(text: str, counts: dict[int, int], group: np.ndarray, n_words: int) -> np.ndarray:
-    votes = np.zeros(int(group.max()) + 1 if len(group) else 0, bool)
-    for k in counts:
-        votes[group[k]] = True
-    return np.concatenate((votes, patterns(text, n_words, sum(counts.values()), len(counts))))
+def densities(rows: np.ndarray, columns: np.ndarray, counts: np.ndarray, n_words: np.ndarray, n_features: int) -> np.ndarray:
+    """Hits of each lexicon (features are dealt to GROUPS by rank) in a text, for its length."""
+    out = np.zeros((len(n_words), GROUPS))
+    if n_features:
+        np.add.at(out, (rows, columns % GROUPS), np.log1p(counts))
+    return out / np.maximum(n_words, 1)[:, None] ** 0.75
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, trust: float = 0.98, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def lexicon_votes(density: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """A lexicon speaks from the density on that, by itself, sorts the most labelled rows rightly."""
+    out = np.zeros(density.shape, bool)
+    for g in range(density.shape[1]):
+        order = np.argsort(-density[:, g], kind="stable")
+        best = int(np.cumsum(2 * given[order] - 1).argmax())
+        out[:, g] = density[:, g] >= max(density[order[best], g], 1e-12)
+    return out
+
+
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of each row, voter rates by class and voter weights.
 
-    ``given`` is 1, 0 or -1 (unknown): the label as a voter that is right with
-    probability ``trust``. EM alternates posteriors and rates; a voter's weight is
-    one over the sum of its residual correlations, so that voters that repeat
-    each other share one vote.
+    EM from the posteriors in ``start`` (a vote of the majority) alternates
+    posteriors and how often each voter speaks in either class; no voter is
+    trusted beforehand. A voter's weight is one over the sum of its residual
+    correlations, so that voters that repeat each other share one vote.
     """
     n, m = votes.shape
     v = votes.astype(float)
-    post = np.where(given < 0, 0.5, np.where(given == 1, trust, 1 - trust))
+    post = start.astype(float)
     weight = np.ones(m)
     rate = np.zeros((2, m))
     for _ in range(rounds):
         prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
         for y, p in ((0, 1 - post), (1, post)):
             rate[y] = (p @ v + 0.5) / (p.sum() + 1)
-        expected = np.outer(1 - post, rate[0]) + np.outer(post, rate[1])
-        left = v - expected
+        left = v - np.outer(1 - post, rate[0]) - np.outer(post, rate[1])
         norm = np.sqrt((left**2).mean(0)) + 1e-6
         corr = np.abs((left.T @ left) / n / np.outer(norm, norm))
         np.fill_diagonal(corr, 1)
         weight = 1 / np.where(corr > 0.1, corr, 0).sum(0)
         odds = math.log(prior / (1 - prior)) + (v * weight) @ np.log(rate[1] / rate[0]) + ((1 - v) * weight) @ np.log((1 - rate[1]) / (1 - rate[0]))
-        odds += np.where(given < 0, 0, np.where(given == 1, 1, -1)) * math.log(trust / (1 - trust))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if np.abs(new - post).max() < 1e-4:
-            post = new
-            break
+        moved = np.abs(new - post).max()
         post = new
+        if moved < 1e-4:
+            break
     return post, rate, weight
 
 
+def majority(votes: np.ndarray) -> np.ndarray:
+    """Posteriors to start from: what half of the lexicons or more say."""
+    return np.where(2 * votes.sum(1) >= votes.shape[1], 0.9, 0.1)
+
+
 def fit_linear(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, dense: np.ndarray, target: np.ndarray, n_features: int, rounds: int = 300, l2: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regression on sparse counts and a few dense columns (full-batch Adam)."""
     n = len(target)
@@ -199,20 +213,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not known:
         share = sample.agg(F.avg("toxic")).first()[0] or 0.0
         return Model({}, np.zeros(0), np.zeros(4), min(max(share, 0.01), 0.49) if share < 0.5 else min(share, 0.99))
-    # voters: words and beginnings apart, each dealt by rank
-    group = np.array([i % GROUPS + GROUPS * (f[-1] == "*") for i, (f, _) in enumerate(mined)])
-    shared = docs.sparkSession.sparkContext.broadcast((known, group))
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, group = shared.value
+        known = shared.value
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             for text, y in zip(batch.column(0), batch.column(1)):
                 text = text.as_py()
                 words = word_counts(text)
                 counts = feature_counts(words, known)
-                n = sum(words.values())
-                for column, value in zip(out, (y.as_py(), n, list(counts), list(counts.values()), votes_of(text, counts, group, n).tolist())):
+                for column, value in zip(out, (y.as_py(), sum(words.values()), list(counts), list(counts.values()), patterns(text))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.list_(pa.int32())), pa.array(out[4], pa.list_(pa.bool_()))], ["y", "n", "k", "c", "votes"])
 
@@ -221,39 +232,49 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = np.repeat(np.arange(table.num_rows), size)
     columns = np.concatenate([np.asarray(x.as_py(), int) for x in table["k"]] or [np.zeros(0, int)]).astype(int)
     counts = np.concatenate([np.asarray(x.as_py(), float) for x in table["c"]] or [np.zeros(0)])
-    votes = np.array(table["votes"].to_pylist(), bool)
-    post, _, _ = label_model(votes, table["y"].to_numpy())
+    given, n_words = table["y"].to_numpy(), table["n"].to_numpy().astype(float)
+    lexicons = lexicon_votes(densities(rows, columns, counts, n_words, len(mined)), given)
+    votes = np.column_stack((lexicons, np.array(table["votes"].to_pylist(), bool), given == 1))
+    post, _, _ = label_model(votes, majority(lexicons))
     n_hits = np.bincount(rows, counts, table.num_rows)
-    w, u = fit_linear(rows, columns, np.log1p(counts), dense_columns(table["n"].to_numpy().astype(float), n_hits), post, len(mined))
+    w, u = fit_linear(rows, columns, np.log1p(counts), dense_columns(n_words, n_hits), post, len(mined))
     return Model(known, w, u, 0.0)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``id_col, score`` and the columns in ``keep``, a row for each row of ``docs``.
+    """``id_col, score`` and the columns in ``keep`` (``text_col`` itself may be one), a row for each row of ``docs``.
 
     Null and empty texts are scored like any text without words; texts are read
     whole; repeated rows get the same score; columns of other names don't matter.
     """
     keep = keep or []
-    cur = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
+    rest = [c for c in keep if c != text_col]
+    cur = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(rest)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = [1] * (text_col in keep) + list(range(2, len(rest) + 2))  # a text goes to a worker once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = shared.value.scores([t.as_py() or "" for t in batch.column(1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got), *batch.columns[2:]], ["_id", "_score", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got), *[batch.column(i) for i in sent]], ["_id", "_score", *[batch.schema.names[i] for i in sent]])
 
-    kinds = {f.name: f.dataType.simpleString() for f in cur.schema}
-    schema = ", ".join([f"_id {kinds['_id']}", "_score double", *[f"_k{i} {kinds[f'_k{i}']}" for i in range(len(keep))]])
+    schema = ", ".join(["_id " + cur.schema["_id"].dataType.simpleString(), "_score double", *[f"{f.name} {f.dataType.simpleString()}" for f in (cur.schema[i] for i in sent)]])
     out = cur.mapInArrow(run, schema)
-    return out.select(F.col("_id").alias(id_col), F.col("_score").alias("score"), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
+    name = {c: f"_k{i}" for i, c in enumerate(rest)} | {text_col: "_text"}
+    return out.select(F.col("_id").alias(id_col), F.col("_score").alias("score"), *[F.col(name[c]).alias(c) for c in keep])
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` that score under the threshold, with their columns as they were."""
+    """Rows of ``docs`` that score under the threshold, with their columns as they were.
+
+    A null or empty text is scored like any without words and stays; repeated
+    rows share one verdict; an empty table stays empty; without labels of both
+    classes nothing goes unless most labels are toxic.
+    """
     model = fit(docs, labels)
-    held = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
-    return score(held, model, keep=["_row"]).where(F.col("score") < threshold).select("_row.*")
+    held = docs.select(F.col("doc_id").alias("_of"), "text", F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("_row"))
+    kept = score(held, model, "_of", keep=["_row", "text"]).where(F.col("score") < threshold)
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
