@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_starts, materialise, mixed, parted, powers, prefix_hash, read_table, shuffle_width, whole_groups
+from .common import discard, group_starts, materialise, mixed, parted, powers, prefix_hash, read_table, shuffle_width, whole_groups
 from .common import _INVERSE as INVERSE
 
 LENGTH, GRAM = 100, 32
@@ -501,7 +501,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fresh = hits.where("fresh")
     met = fresh.where("parted").groupBy("key", "digest").agg(F.min(F.struct("id", "v", "a", "b")).alias("f")).select("key", "f.*")
     firsts = materialise(fresh.where("not parted").select("key", "id", "v", "a", "b").unionAll(met), "first-segments")
-    first = materialise(_first_windows(rows, firsts, length), "first-windows").groupBy("id", "v").agg(F.collect_list(F.struct("a", "b")).alias("first"))
+    windows = materialise(_first_windows(rows, firsts, length), "first-windows")
+    discard(firsts)
+    first = windows.groupBy("id", "v").agg(F.collect_list(F.struct("a", "b")).alias("first"))
     by_doc = hits.groupBy("id", "v").agg(F.collect_list(F.struct("a", "b")).alias("hits"))
     spans = by_doc.join(first, ["id", "v"], "left")
     touched, rest = parted(rows, hits, "id")
