@@ -340,17 +340,33 @@ def test_lm_scores(spark, monkeypatch):
     assert lm.score_texts(docs_of(spark, [])).count() == 0
 
 
+def continuations_of(rng):
+    opens = np.arange(lm.VOCABULARY) % 3 == 0
+    opens[lm.END] = True
+    keys = np.unique((rng.integers(0, 60, 500) << 16) | rng.integers(0, 60, 500))
+    keys = keys[~opens[keys & 0xFFFF]]
+    keys = np.sort(np.concatenate((keys, (np.arange(60) << 16) | lm.NEW)))
+    return lm.Continuations(rng.integers(0, 5, lm.VOCABULARY).astype(float), keys, rng.integers(1, 9, len(keys)).astype(float), opens)
+
+
+def test_continuations_are_a_distribution():
+    after = continuations_of(np.random.default_rng(12))
+    every = np.arange(lm.VOCABULARY)
+    for x in (0, 7, 59, 3000, lm.END):
+        assert abs(after.prob(np.full(lm.VOCABULARY, x), every).sum(dtype=float) - 1) < 1e-3
+
+
 def test_attention_is_causal_and_scores_once():
     rng = np.random.default_rng(10)
-    base = np.full(lm.VOCABULARY, 1 / lm.VOCABULARY)
-    m = lm.Attention(base)
+    m = lm.Attention(continuations_of(rng))
     m.query = m.p["q"] * np.float32(lm.WIDTH**-0.5)
     x, y = rng.integers(0, 500, (2, lm.WINDOW)), rng.integers(0, 500, (2, lm.WINDOW))
     one = m.log_probs(x, y).copy()
     x2 = x.copy()
     x2[:, 20:] = 7
     assert np.allclose(one[:, :20], m.log_probs(x2, y)[:, :20], atol=1e-5)
-    assert np.allclose(one, np.log(np.einsum("bwk,bwk->bw", m.forward(x)[-1], m.table[y])), atol=1e-4)
+    parts = np.concatenate((m.table[y], m.after.prob(x.ravel(), y.ravel()).reshape(*y.shape, 1)), 2)
+    assert np.allclose(one, np.log(np.einsum("bwk,bwk->bw", m.forward(x)[-1], parts)), atol=1e-4)
     assert np.allclose(m.table.sum(0), 1, atol=1e-3)
     for n in (1, 2, 5, lm.WINDOW, lm.WINDOW + 1, 100, 333):
         starts, skip = lm.cover(n)
@@ -360,9 +376,8 @@ def test_attention_is_causal_and_scores_once():
 
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(11)
-    base = np.full(lm.VOCABULARY, 1 / lm.VOCABULARY)
     w = np.cumsum(rng.integers(1, 3, (200, lm.WINDOW + 1)), axis=1) % 60
-    m = lm.Attention(base)
+    m = lm.Attention(continuations_of(rng))
     before = m.score([np.append(r, lm.END).astype(np.int32) for r in w[:20]]).sum()
     m.train(w.astype(np.int32), steps=120)
     assert m.score([np.append(r, lm.END).astype(np.int32) for r in w[:20]]).sum() > before
