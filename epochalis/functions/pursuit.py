@@ -2,8 +2,8 @@
 
 Rows are independent: a batch is scored against the dictionary by one matrix
 product, its best atoms are refined together by coordinate steps that are kept
-where they raise a row's energy, and all amplitudes are refitted jointly after
-each atom. A row's result doesn't depend on the rows beside it.
+where they raise a row's energy, and the residual is what is orthogonal to all
+atoms so far. A row's result doesn't depend on the rows beside it.
 """
 
 from __future__ import annotations
@@ -23,14 +23,19 @@ def chirplets(p: np.ndarray, n: int, fs: float) -> tuple[np.ndarray, np.ndarray]
     return env * np.cos(phase), env * np.sin(phase)
 
 
+def orthonormal_parts(p: np.ndarray, n: int, fs: float) -> tuple[np.ndarray, np.ndarray]:
+    """An orthonormal pair that spans each atom's two parts; the second is zero where they are one direction."""
+    first, second = chirplets(p, n, fs)
+    first = first / np.maximum(np.linalg.norm(first, axis=-1, keepdims=True), 1e-15)
+    whole = np.linalg.norm(second, axis=-1, keepdims=True)
+    second = second - (first * second).sum(-1, keepdims=True) * first
+    size = np.linalg.norm(second, axis=-1, keepdims=True)
+    return first, np.where(size > 1e-3 * whole, second / np.maximum(size, 1e-15), 0.0)
+
+
 def captured(x: np.ndarray, p: np.ndarray, fs: float) -> np.ndarray:
-    """Energy that the best mixture of an atom's two parts takes from its row."""
-    c, s = chirplets(p, x.shape[-1], fs)
-    cc, ss, cs = (c * c).sum(-1), (s * s).sum(-1), (c * s).sum(-1)
-    bc, bs = (x * c).sum(-1), (x * s).sum(-1)
-    det = cc * ss - cs * cs
-    flat = np.abs(det) <= 1e-9 * np.maximum(cc * ss, 1e-30)
-    return np.where(flat, bc * bc / np.maximum(cc, 1e-30), (ss * bc * bc - 2 * cs * bc * bs + cc * bs * bs) / np.where(flat, 1, det))
+    """Energy of a row's projection on the plane of its atom."""
+    return sum((x * part).sum(-1) ** 2 for part in orthonormal_parts(p, x.shape[-1], fs))
 
 
 def dictionary(n: int, fs: float) -> np.ndarray:
@@ -44,19 +49,14 @@ class Engine:
     def __init__(self, n: int, fs: float, order: int = 6, rounds: int = 8, min_amplitude: float = 0.0):
         self.n, self.fs, self.order, self.rounds, self.min_amplitude = n, fs, order, rounds, min_amplitude
         self.grid = dictionary(n, fs)
-        self.c, self.s = chirplets(self.grid, n, fs)
-        self.cc, self.ss, self.cs = (self.c**2).sum(1), (self.s**2).sum(1), (self.c * self.s).sum(1)
-        det = self.cc * self.ss - self.cs**2
-        self.flat = np.abs(det) <= 1e-6 * np.maximum(self.cc * self.ss, 1e-30)
-        self.det = np.where(self.flat, 1, det)
+        self.parts = orthonormal_parts(self.grid, n, fs)
         span = n / fs
         self.steps = np.array([0.04 * span, 0.01 * fs, 0.0, 0.4 * fs / 8 / span])
         self.low, self.high = np.array([-0.1 * span, 0, 0.5 / fs, -fs * fs]), np.array([1.1 * span, 0.49 * fs, 1.5 * span, fs * fs])
 
     def best(self, r: np.ndarray) -> np.ndarray:
-        bc, bs = r @ self.c.T, r @ self.s.T
-        e = np.where(self.flat, bc * bc / np.maximum(self.cc, 1e-30), (self.ss * bc * bc - 2 * self.cs * bc * bs + self.cc * bs * bs) / self.det)
-        return self.grid[e.argmax(1)].copy()
+        energy = sum((r @ part.T) ** 2 for part in self.parts)
+        return self.grid[energy.argmax(1)].copy()
 
     def refine(self, r: np.ndarray, p: np.ndarray) -> np.ndarray:
         have = captured(r, p, self.fs)
@@ -73,29 +73,36 @@ class Engine:
         return p
 
     def decompose(self, x: np.ndarray):
-        """Atoms (rows, order, 4), their waveforms (rows, order, n), kept flags and the residual."""
+        """Atoms (rows, order, 4), their waveforms (rows, order, n), kept flags and the residual.
+
+        Each atom's plane is made orthogonal to the planes before it, and the
+        residual loses its projection; amplitudes in the atoms' own parts come
+        from one pseudo-inverse a row at the end.
+        """
         rows = len(x)
         params = np.zeros((rows, self.order, 4))
-        basis = np.zeros((rows, 2 * self.order, self.n))
         kept = np.zeros((rows, self.order), bool)
-        amplitude = np.zeros((rows, 2 * self.order))
-        rest, active = x.copy(), np.ones(rows, bool)
+        own = np.zeros((rows, 2 * self.order, self.n))
+        span = np.zeros((rows, 2 * self.order, self.n))
+        rest = x.copy()
         for k in range(self.order):
             p = self.refine(rest, self.best(rest))
             energy = captured(rest, p, self.fs)
-            active = active & (energy > 1e-12) & (np.sqrt(np.maximum(energy, 0)) >= self.min_amplitude)
-            if not active.any():
+            going = (energy > 1e-12) & (energy >= self.min_amplitude**2) & (kept[:, k - 1] if k else True)
+            if not going.any():
                 break
-            params[active, k], kept[active, k] = p[active], True
-            c, s = chirplets(p, self.n, self.fs)
-            basis[active, 2 * k], basis[active, 2 * k + 1] = c[active], s[active]
-            part = basis[:, : 2 * k + 2]
-            gram = part @ part.transpose(0, 2, 1)
-            ridge = 1e-8 * np.maximum(np.einsum("bii->bi", gram).max(1), 1e-12)
-            gram = gram + ridge[:, None, None] * np.eye(2 * k + 2)
-            amplitude[:, : 2 * k + 2] = np.linalg.solve(gram, (part @ x[:, :, None]))[..., 0]
-            rest = x - np.einsum("bk,bkn->bn", amplitude[:, : 2 * k + 2], part)
-        waves = (amplitude[..., None] * basis).reshape(rows, self.order, 2, self.n).sum(2)
+            params[going, k], kept[going, k] = p[going], True
+            for axis, part in enumerate(chirplets(p, self.n, self.fs)):
+                own[going, 2 * k + axis] = part[going]
+                direction = part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-15)
+                for _ in range(2):  # once more, against rounding
+                    direction = direction - np.einsum("bkn,bk->bn", span, np.einsum("bkn,bn->bk", span, direction))
+                size = np.linalg.norm(direction, axis=1)
+                use = going & (size > 1e-6)
+                span[use, 2 * k + axis] = direction[use] / size[use, None]
+            rest = x - np.einsum("bkn,bk->bn", span, np.einsum("bkn,bn->bk", span, x))
+        amplitude = np.einsum("bnk,bn->bk", np.linalg.pinv(own, rcond=1e-6), x)
+        waves = (amplitude[..., None] * own).reshape(rows, self.order, 2, self.n).sum(2)
         return params, waves, kept, rest
 
 

@@ -1,4 +1,4 @@
-"""Ordered state along recordings: echo-state and quantum reservoirs, and the ridge readout.
+"""Ordered state along recordings: echo-state reservoirs and the ridge readout.
 
 A recording's rows are sent to one task and sorted by place; the state is
 carried from batch to batch, so a task holds one batch and one state.
@@ -34,47 +34,6 @@ class EchoState:
         return state
 
 
-class QuantumReservoir:
-    """Density matrix of ``n`` qubits under a disordered Ising evolution; the last ``n_in`` qubits are replaced by the input."""
-
-    def __init__(self, n: int = 4, n_in: int = 1, field: float = 1.0, disorder: float = 0.1, time: float = 10.0, seed: int = 0, coupled: bool = True):
-        rng = np.random.default_rng(seed)
-        self.n, self.n_in, size = n, n_in, 1 << n
-        bits = (np.arange(size)[:, None] >> np.arange(n)) & 1
-        self.z = 1.0 - 2 * bits
-        h = np.zeros((size, size))
-        states = np.arange(size)
-        if coupled:
-            for i in range(n):
-                for j in range(i + 1, n):
-                    h[states, states ^ (1 << i) ^ (1 << j)] += rng.uniform(-0.5, 0.5)
-        h[states, states] += self.z @ (field + rng.uniform(-disorder, disorder, n))
-        values, vectors = np.linalg.eigh(h)
-        self.unitary = (vectors * np.exp(-1j * values * time)) @ vectors.T
-        i, j = np.triu_indices(n, 1)
-        self.zz = self.z[:, i] * self.z[:, j]
-        self.flips = [states ^ (1 << k) for k in range(n)]
-
-    def start(self):
-        rho = np.zeros((1 << self.n,) * 2, complex)
-        rho[0, 0] = 1
-        return rho
-
-    def step(self, rho, x):
-        low, high = 1 << (self.n - self.n_in), 1 << self.n_in
-        rest = np.einsum("iris->rs", rho.reshape(high, low, high, low).transpose(0, 1, 2, 3))
-        phi = np.ones(1)
-        for s in np.clip(x, 0, 1):
-            phi = np.kron(np.array([np.sqrt(1 - s), np.sqrt(s)]), phi)
-        rho = np.kron(np.outer(phi, phi), rest)
-        return self.unitary @ rho @ self.unitary.conj().T
-
-    def read(self, rho):
-        p = rho.diagonal().real
-        x = [rho[np.arange(len(rho)), f].real.sum() for f in self.flips]
-        return np.concatenate((p @ self.z, p @ self.zz, x))
-
-
 def run_reservoir(steps: DataFrame, make: Callable[[], object], key: str = "rec_id", order: str = "sample_idx", inputs: str = "u") -> DataFrame:
     """``key, order, state``: the readout after every step, from a fresh state for each key."""
 

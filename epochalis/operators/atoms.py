@@ -49,6 +49,15 @@ def channel_features(atoms: DataFrame, epoch_s: float, residual: DataFrame | Non
     return out if residual is None else out.join(residual, CHANNEL, "left")
 
 
+def feature_rows(atoms: DataFrame, epoch_s: float) -> DataFrame:
+    """One row a channel-epoch: the 13 statistics (with how many atoms and the residual's share) and its epoch's 18.
+
+    Atoms that another step wrote (``sources.sinks.save_missing``) can be read and given again.
+    """
+    rest = atoms.groupBy(CHANNEL).agg(F.count("*").alias("n_atoms"), F.max("recon_err").alias("recon_err"))
+    return channel_features(atoms, epoch_s, rest).join(cross_features(atoms), "epoch_id")
+
+
 def channel_energy(atoms: DataFrame) -> DataFrame:
     e = F.col("energy")
     in_band = lambda lo, hi: (F.col("f_hz") >= lo) & (F.col("f_hz") < hi)

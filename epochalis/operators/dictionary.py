@@ -1,10 +1,16 @@
-"""Chirplet dictionaries and their search, gate lists, state vectors: small tables joined to signals."""
+"""Chirplet dictionaries and their search: small tables held against signals."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.pursuit import orthonormal_parts
+
 
 def grid(spark: SparkSession, **axes: list[float]) -> DataFrame:
     """Cartesian product of named axes (``name`` and place ``name_i``): constant arrays unfolded in one task, no join."""
@@ -25,68 +31,26 @@ def quadratures(atoms: DataFrame, n: int, fs: float) -> DataFrame:
 def search(signals: DataFrame, atoms: DataFrame, n: int, fs: float, digits: int = 9) -> DataFrame:
     """Best atom of each signal (``id, w``): the most energy that a cosine and a sine part can take.
 
-    The dictionary is a bounded table of arrays that is broadcast; each signal
-    is scored against it in its own task and reduced at once to its best atom,
-    so that signals are never shuffled whole. Energies are compared rounded, the
-    smaller atom first among equals.
+    The dictionary (``atom_id, tc, fc, dt, c``) is a parameter and bounded; each
+    batch of signals is scored by two matrix products and reduced at once, so that
+    signals are never shuffled. Energies are compared rounded, the smaller atom
+    first among equals. Signals that are null or not ``n`` long have none.
     """
-    q = quadratures(atoms, n, fs)
-    packed = q.groupBy("atom_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "gc", "gs"))), lambda s: s["gc"]).alias("gc"), F.transform(F.sort_array(F.collect_list(F.struct("i", "gc", "gs"))), lambda s: s["gs"]).alias("gs"), F.sum(F.col("gc") * F.col("gc")).alias("cc"), F.sum(F.col("gs") * F.col("gs")).alias("ss"), F.sum(F.col("gc") * F.col("gs")).alias("cs"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    scored = signals.crossJoin(F.broadcast(packed)).select("id", "atom_id", "cc", "ss", "cs", dot("w", "gc").alias("bc"), dot("w", "gs").alias("bs"))
-    det = F.col("cc") * F.col("ss") - F.col("cs") * F.col("cs")
-    full = (F.col("ss") * F.col("bc") * F.col("bc") - 2 * F.col("cs") * F.col("bc") * F.col("bs") + F.col("cc") * F.col("bs") * F.col("bs")) / det
-    energy = F.when(F.abs(det) > 1e-6 * F.greatest(F.col("cc") * F.col("ss"), F.lit(1e-30)), full).otherwise(F.col("bc") * F.col("bc") / F.greatest("cc", F.lit(1e-30)))
-    best = scored.withColumn("energy", F.round(energy, digits)).groupBy("id").agg(F.max(F.struct("energy", (-F.col("atom_id")).alias("neg"))).alias("b"))
-    return best.select("id", (-F.col("b.neg")).alias("atom_id"), F.col("b.energy").alias("energy"))
-
-
-def quadratic_gates(spark: SparkSession, n: int, c: float) -> DataFrame:
-    """Phase gates of exp(2 pi i c t^2) on n qubits: one per qubit and one per pair, ``(a, b, angle)`` (a = b: single)."""
-    q = spark.range(n)
-    pairs = q.select(F.col("id").alias("a")).crossJoin(q.select(F.col("id").alias("b"))).where("a <= b")
-    weight = F.expr("double(shiftleft(1, int(a + b)))")
-    return pairs.select("a", "b", (2 * F.pi() * c * weight * F.when(F.col("a") == F.col("b"), 1.0).otherwise(2.0)).alias("angle"))
-
-
-def gate_phases(gates: DataFrame, n: int) -> DataFrame:
-    """Phase of each basis state: the angles of the gates whose bits are all set."""
-    basis = gates.sparkSession.range(1 << n).select(F.col("id").alias("t"))
-    hit = F.expr("CASE WHEN (shiftright(t, int(a)) & 1) = 1 AND (shiftright(t, int(b)) & 1) = 1 THEN angle ELSE 0.0D END")
-    return basis.crossJoin(F.broadcast(gates)).groupBy("t").agg(F.sum(hit).alias("phase"))
-
-
-def state_vectors(rows: DataFrame, n: int, entangled: bool = True) -> DataFrame:
-    """Amplitudes after one layer, ``id, b, re, im``: angles ``x`` (array of n) set diagonal phases on an equal superposition."""
-    phase = F.lit(0.0)
-    bit = lambda k: F.shiftright("b", k).bitwiseAND(1)
-    x = lambda k: F.get("x", F.lit(k))
-    for i in range(n):
-        phase = phase + 2 * x(i) * bit(i)
-    if entangled:
-        for i in range(n):
-            for j in range(i + 1, n):
-                phase = phase + 2 * (F.pi() - x(i)) * (F.pi() - x(j)) * bit(i).bitwiseXOR(bit(j))
-    scale = 2.0 ** (-n / 2)
-    spread = rows.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit((1 << n) - 1))).alias("b")).withColumn("p", phase)
-    return spread.select("id", "b", (F.cos("p") * scale).alias("re"), (F.sin("p") * scale).alias("im"))
-
-
-def pauli_expectations(states: DataFrame, n: int) -> DataFrame:
-    """``id, qubit, x, y, z``: a state's amplitudes meet in an array of 2^n, no self-join."""
-    held = states.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("b", "re", "im"))).alias("s"))
-    spread = held.select("id", "s", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("qubit"))
-    flip = F.expr("shiftleft(1, qubit)")
-    mate = lambda a: F.get(F.col("s"), a["b"].bitwiseXOR(flip))
-    clear = lambda a: a["b"].bitwiseAND(flip) == 0
-    total = lambda fn: F.aggregate("s", F.lit(0.0), lambda t, a: t + fn(a))
-    x = total(lambda a: F.when(clear(a), 2 * (a["re"] * mate(a)["re"] + a["im"] * mate(a)["im"])).otherwise(0.0))
-    y = total(lambda a: F.when(clear(a), 2 * (a["re"] * mate(a)["im"] - a["im"] * mate(a)["re"])).otherwise(0.0))
-    z = total(lambda a: F.when(clear(a), 1.0).otherwise(-1.0) * (a["re"] * a["re"] + a["im"] * a["im"]))
-    return spread.select("id", "qubit", x.alias("x"), y.alias("y"), z.alias("z"))
-
-
-def fidelity(states: DataFrame, queries: DataFrame) -> DataFrame:
-    """``|<q|s>|^2`` of each state against each of a bounded set of query states (``qid, b, qre, qim``)."""
-    pairs = states.join(F.broadcast(queries), "b")
-    return pairs.groupBy("id", "qid").agg(F.sum(F.col("re") * F.col("qre") + F.col("im") * F.col("qim")).alias("r"), F.sum(F.col("im") * F.col("qre") - F.col("re") * F.col("qim")).alias("i")).select("id", "qid", (F.col("r") * F.col("r") + F.col("i") * F.col("i")).alias("fidelity"))
+    rows = sorted(tuple(r) for r in atoms.select("atom_id", "tc", "fc", "dt", "c").collect())
+    names = np.array([r[0] for r in rows], np.int64)
+    grid_ = np.array([r[1:] for r in rows], float).reshape(-1, 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = orthonormal_parts(grid_, n, fs)
+        for batch in batches:
+            w = batch.column(1)
+            whole = np.flatnonzero(w.value_lengths().fill_null(0).to_numpy() == n)
+            part = batch.take(pa.array(whole))
+            x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            for lo in range(0, len(x), 1024):
+                e = np.round((x[lo : lo + 1024] @ first.T) ** 2 + (x[lo : lo + 1024] @ second.T) ** 2, digits)
+                best = e.argmax(1)
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, len(e)), pa.array(names[best]), pa.array(e[np.arange(len(e)), best])], ["id", "atom_id", "energy"])
+
+    kind = signals.schema["id"].dataType.simpleString()
+    return signals.select("id", F.col("w").cast("array<double>")).mapInArrow(run, f"id {kind}, atom_id bigint, energy double")

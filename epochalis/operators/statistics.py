@@ -76,3 +76,26 @@ def counts_to_distribution(counts: DataFrame, postselect: bool = True) -> DataFr
 def total_variation(p: DataFrame, q: DataFrame, key: list[str], state: str) -> DataFrame:
     both = p.select(*key, state, F.col("p")).unionByName(q.select(*key, state, (-F.col("p")).alias("p"))).groupBy(*key, state).agg(F.sum("p").alias("d"))
     return both.groupBy(*key).agg((F.sum(F.abs("d")) / 2).alias("tvd"))
+
+
+def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` less their mean over their sample deviation, 0 where that is 1e-6 or less, and ``bias`` (1)."""
+    stats = df.agg(*[f(c).alias(f"_{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_samp))])
+    held = df.crossJoin(F.broadcast(stats))  # one row
+    z = {c: F.when(F.col(f"_s_{c}") > 1e-6, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(0.0) for c in columns}
+    return held.select(*[z[c].alias(c) if c in z else F.col(c) for c in df.columns], F.lit(1.0).alias("bias"))
+
+
+def percentile_bounds(df: DataFrame, group: str, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """``group, low, high``: exact percentiles, interpolated; counts of distinct values are merged."""
+    return df.groupBy(group).agg(F.percentile(value, F.lit(low)).alias("low"), F.percentile(value, F.lit(high)).alias("high"))
+
+
+def forecast_metrics(df: DataFrame, group: str, pred: str, truth: str, last: str) -> DataFrame:
+    """``skill, corr, gain, bold``: error against persistence, correlation of the moves, the gain that matches their size, and skill under it."""
+    p, y = F.col(pred) - F.col(last), F.col(truth) - F.col(last)
+    moves = df.where(p.isNotNull() & y.isNotNull()).select(group, p.alias("p"), y.alias("y"))
+    skill_ = 1 - F.try_divide(F.sum((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))), F.sum(F.col("y") * F.col("y")))
+    first = moves.groupBy(group).agg(skill_.alias("skill"), F.corr("p", "y").alias("corr"), F.try_divide(F.stddev_samp("y"), F.stddev_samp("p")).alias("gain"))
+    bold = moves.join(first.select(group, "gain"), group).withColumn("e", F.col("gain") * F.col("p") - F.col("y")).groupBy(group).agg((1 - F.try_divide(F.sum(F.col("e") * F.col("e")), F.sum(F.col("y") * F.col("y")))).alias("bold"))
+    return first.join(bold, group)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import BANDS
+from ..functions import models as M
 from ..functions.pursuit import atoms_of
-from ..functions.reservoirs import EchoState, QuantumReservoir, ridge, run_reservoir
+from ..functions.reservoirs import EchoState, ridge, run_reservoir
 from ..operators import atoms as A
 from ..operators import dictionary as D
 from ..operators import epochs as E
 from ..operators import intervals as I
+from ..operators import selection as C
 from ..operators import statistics as S
 from ..sources.recordings import clock_seconds, montage
 from ..sources.tables import atoms, read, samples
@@ -82,7 +86,9 @@ def epoch_normalise(spark, d):
 def epoch_cap(spark, d):
     """At most two kept epochs of a recording, the first ones."""
     kept = _epochs(spark, d).where(E.gate_reason(F.col("w"), F.col("span_ms"), **GATE).isNull())
-    first = kept.groupBy("rec_id").agg(F.slice(F.sort_array(F.collect_set("epoch")), 1, 2).alias("e")).select("rec_id", F.explode("e").alias("epoch"))
+    first = kept.groupBy("rec_id").agg(F.min("epoch").alias("epoch"))
+    second = kept.join(first.withColumnRenamed("epoch", "first"), "rec_id").where("epoch > first").groupBy("rec_id").agg(F.min("epoch").alias("epoch"))
+    first = first.unionAll(second)
     return rounded(E.amplitude_features(kept.join(first, ["rec_id", "epoch"])).select("rec_id", "epoch", "log_rms"), "rec_id", "epoch")
 
 
@@ -116,11 +122,11 @@ def group_zscore(spark, d):
 
 
 @query(f"""WITH {_EPOCHS}, win AS (SELECT rec_id, epoch, mean AS x, {_REASON} IS NULL AS valid, list_contains(list_transform(w, lambda v: v > 300), true) AS flag, start AS t FROM ep)
-  SELECT rec_id, epoch // 2 AS step, round(avg(CASE WHEN valid THEN x END), 4) AS x, bool_or(flag) AS flag, min(t) AS t, sum(valid::int)::bigint AS n_valid, sum(valid::int) >= 2 AS valid
+  SELECT rec_id, epoch // 2 AS step, round(avg(CASE WHEN valid THEN x END), 8) AS x, bool_or(flag) AS flag, min(t) AS t, sum(valid::int)::bigint AS n_valid, sum(valid::int) >= 2 AS valid
   FROM win GROUP BY 1, 2 HAVING count(*) = 2""")
 def step_rollup(spark, d):
     w = _epochs(spark, d).select("rec_id", "epoch", E.mean_of(F.col("w")).alias("x"), E.gate_reason(F.col("w"), F.col("span_ms"), **GATE).isNull().alias("valid"), F.exists("w", lambda v: v > 300).alias("flag"), F.col("start").cast("bigint").alias("t"))
-    return rounded(E.step_rollup(w, 2), "rec_id", "step", "flag", "t", "n_valid", "valid")
+    return rounded(E.step_rollup(w, 2), "rec_id", "step", "flag", "t", "n_valid", "valid", digits=8)
 
 
 # intervals: windows are half-hours after an event, spans start at error events
@@ -288,49 +294,13 @@ def cross_features(spark, d):
     OR (f_hz - 1 / (2 * pi() * greatest(dur_s, 1e-6)) >= f_high AND sqrt(energy) >= k_high * 0.1) OR (f_hz <= f_low AND sqrt(energy) >= k_low * 0.1) OR (dur_s <= dt_short AND sqrt(energy) >= k_short * 0.1)) AS n_flagged
   FROM atm, rules GROUP BY ALL""")
 def artifact_rules(spark, d):
-    """How many atoms each of the 144 rules flags: the rules are an array in every row, counted map-side."""
-    rules = D.grid(spark, f_high=[30, 40], k_high=[1, 2, 3], f_low=[1, 2], k_low=[1, 2, 3], dt_short=[0.08, 0.12], k_short=[1, 2])
-    names = ["f_high", "k_high", "f_low", "k_low", "dt_short", "k_short"]
-    held = atoms(spark, d).crossJoin(F.broadcast(rules.select(F.struct(*names).alias("rule"))))
-    flag = A.artifact_flag(F.col("f_hz"), F.col("dur_s"), F.sqrt("energy"), F.lit(0.1), F.col("rule"))
-    return held.groupBy("rule").agg(F.count(F.when(flag, 1)).alias("n_flagged")).select("rule.*", "n_flagged")
-
-
-@query("SELECT t, round(2 * pi() * 0.013 * t * t, 6) AS phase FROM range(0, 64) r(t)")
-def phase_gates_quadratic(spark, d):
-    """Phases of the gates of a quadratic chirp on six qubits: equal to the closed form."""
-    return D.gate_phases(D.quadratic_gates(spark, 6, 0.013), 6).select("t", F.round("phase", 6).alias("phase"))
-
-
-_X = "x AS (SELECT vec_id AS id, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE] AS x FROM embeddings)"
-_SV = f"""{_X}, sv AS (SELECT id, b, cos(p) / sqrt(8) AS re, sin(p) / sqrt(8) AS im FROM (SELECT id, b, 2 * (x[1] * (b & 1) + x[2] * ((b >> 1) & 1) + x[3] * ((b >> 2) & 1))
-  + 2 * (pi() - x[1]) * (pi() - x[2]) * xor(b & 1, (b >> 1) & 1) + 2 * (pi() - x[1]) * (pi() - x[3]) * xor(b & 1, (b >> 2) & 1) + 2 * (pi() - x[2]) * (pi() - x[3]) * xor((b >> 1) & 1, (b >> 2) & 1) AS p FROM x, range(0, 8) r(b)))"""
-
-
-def _states(spark, d):
-    x = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("x"))
-    return D.state_vectors(x, 3)
-
-
-@query(f"WITH {_SV} SELECT id, b::int AS b, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM sv")
-def statevector(spark, d):
-    return rounded(_states(spark, d), "id", "b", digits=5)
-
-
-@query(f"""WITH {_SV}, k AS (SELECT q FROM range(0, 3) r(q)) SELECT a.id, q::int AS qubit, round(sum(CASE WHEN (a.b >> q) & 1 = 0 THEN 2 * (a.re * c.re + a.im * c.im) ELSE 0 END), 5) + 0.0 AS x,
-  round(sum(CASE WHEN (a.b >> q) & 1 = 0 THEN 2 * (a.re * c.im - a.im * c.re) ELSE 0 END), 5) + 0.0 AS y, round(sum((CASE WHEN (a.b >> q) & 1 = 0 THEN 1 ELSE -1 END) * (a.re * a.re + a.im * a.im)), 5) + 0.0 AS z
-  FROM sv a, k JOIN sv c ON true WHERE c.id = a.id AND c.b = xor(a.b, 1 << q) GROUP BY 1, 2""")
-def pauli_expect(spark, d):
-    return rounded(D.pauli_expectations(_states(spark, d), 3), "id", "qubit", digits=5)
-
-
-@query(f"""WITH {_SV} SELECT s.id, q.id AS qid, round(pow(sum(s.re * q.re + s.im * q.im), 2) + pow(sum(s.im * q.re - s.re * q.im), 2), 5) AS fidelity
-  FROM sv s JOIN sv q USING (b) WHERE q.id < 8 GROUP BY 1, 2""")
-def fidelity_gram(spark, d):
-    """Kernel rows of all vectors against a fixed set of reference vectors."""
-    s = _states(spark, d)
-    refs = s.where("id < 8").select(F.col("id").alias("qid"), "b", F.col("re").alias("qre"), F.col("im").alias("qim"))
-    return rounded(D.fidelity(s, refs), "id", "qid", digits=5)
+    """How many atoms each of the 144 rules flags: one pass with a conditional count a rule."""
+    axes = {"f_high": [30, 40], "k_high": [1, 2, 3], "f_low": [1, 2], "k_low": [1, 2, 3], "dt_short": [0.08, 0.12], "k_short": [1, 2]}
+    rules = [F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(axes, values)]) for values in itertools.product(*axes.values())]
+    flag = lambda rule: A.artifact_flag(F.col("f_hz"), F.col("dur_s"), F.sqrt("energy"), F.lit(0.1), rule)
+    counts = atoms(spark, d).agg(*[F.count(F.when(flag(r), 1)).alias(f"n{i}") for i, r in enumerate(rules)])
+    held = counts.select(F.explode(F.array(*[F.struct(r.alias("rule"), F.col(f"n{i}").alias("n_flagged")) for i, r in enumerate(rules)])).alias("x"))
+    return held.select("x.rule.*", "x.n_flagged")
 
 
 # statistics
@@ -443,11 +413,6 @@ def esn_states(spark, d):
     return run_reservoir(_inputs(spark, d), lambda: EchoState(1))
 
 
-@query(None)
-def quantum_reservoir_states(spark, d):
-    return run_reservoir(_inputs(spark, d), lambda: QuantumReservoir(3, 1))
-
-
 @query(None)
 def ridge_readout(spark, d):
     """Weights of the echo state's one-step forecast."""
@@ -472,3 +437,139 @@ def montage_diff(spark, d):
     means = samples(spark, d).groupBy("rec_id", F.floor(F.col("sample_idx") / 8).cast("bigint").alias("sample_idx"), "channel").agg(F.avg("value").alias("value"))
     pairs = spark.createDataFrame([("click-view", "click", "view")], "channel string, anode string, cathode string")
     return rounded(montage(means, pairs).select("rec_id", "sample_idx", "value"), "rec_id", "sample_idx")
+
+
+# choice of files, subjects and configurations
+_CONFIGS = {"layers": [1, 2, 3], "reupload": [0, 1], "rate": [1, 3, 10]}
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def quality_semi(spark, d):
+    return C.of_quality(read(spark, d, "documents"), read(spark, d, "labels"), "doc_id", "quality").select("doc_id", "source")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' UNION SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
+def unmarked_files(spark, d):
+    """Orders in neither of two sets of marked ones."""
+    orders = read(spark, d, "orders")
+    returned, urgent = read(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey"), orders.where("o_orderpriority = '1-URGENT'").select("o_orderkey")
+    return C.unmarked(orders.select("o_orderkey"), "o_orderkey", returned, urgent)
+
+
+_NAMES = "n AS (SELECT s_suppkey, concat('chb', lpad((s_suppkey % 24 + 1)::VARCHAR, 2, '0'), '_', s_suppkey % 40, CASE WHEN s_suppkey % 5 = 0 THEN '+' ELSE '' END, CASE WHEN s_suppkey % 7 = 0 THEN 'x' ELSE '' END, '.edf') AS name FROM supplier)"
+
+
+@query(f"""WITH {_NAMES} SELECT s_suppkey, CASE WHEN s_suppkey % 24 + 1 = 21 THEN 'chb01' ELSE concat('chb', lpad((s_suppkey % 24 + 1)::VARCHAR, 2, '0')) END AS subject,
+  CASE WHEN s_suppkey % 7 = 0 THEN 1000000 ELSE (s_suppkey % 40)::INT END AS place, s_suppkey % 5 = 0 AND s_suppkey % 7 <> 0 AS goes_on FROM n""")
+def recording_names(spark, d):
+    """Subject and sort key of file names."""
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("chb"), F.lpad((k % 24 + 1).cast("string"), 2, "0"), F.lit("_"), (k % 40).cast("string"), F.when(k % 5 == 0, "+").otherwise(""), F.when(k % 7 == 0, "x").otherwise(""), F.lit(".edf"))
+    place, on = C.file_place(F.col("name"))
+    named = read(spark, d, "supplier").select("s_suppkey", name.alias("name"))
+    return named.select("s_suppkey", C.subject_of(F.col("name"), {"chb21": "chb01"}).alias("subject"), place.alias("place"), on.alias("goes_on"))
+
+
+@query(f"""WITH {_SAMPLES}, n AS (SELECT rec_id, count(DISTINCT channel) AS n FROM samples GROUP BY 1), t AS (SELECT rec_id, max(sample_idx) AS last FROM samples WHERE abs(value) > 100 GROUP BY 1)
+  SELECT s.rec_id, count(*) AS n_samples, max(sample_idx) AS last FROM samples s JOIN n ON n.rec_id = s.rec_id AND n.n = (SELECT count(DISTINCT event_type) FROM events) JOIN t ON t.rec_id = s.rec_id AND sample_idx <= last GROUP BY 1""")
+def whole_trimmed(spark, d):
+    """Recordings that have every channel, without what follows their last large sample."""
+    s = samples(spark, d)
+    n = s.agg(F.countDistinct("channel")).first()[0]
+    return C.trimmed(C.whole_montage(s, "rec_id", n), "rec_id", 100.0).groupBy("rec_id").agg(F.count("*").alias("n_samples"), F.max("sample_idx").alias("last"))
+
+
+@query("""SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE k <= ceil(n * 0.2)""")
+def quota_sample(spark, d):
+    """A fifth of each source's documents: a sampling operator."""
+    return C.quota_sample(read(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 0.2).select("source", "doc_id")
+
+
+@query("""SELECT layers, reupload, rate FROM (SELECT DISTINCT l AS layers, CASE WHEN l = 1 THEN 0 ELSE u END AS reupload, r AS rate FROM (VALUES (1), (2), (3)) a(l), (VALUES (0), (1)) b(u), (VALUES (1), (3), (10)) c(r)) ORDER BY md5(concat_ws('|', layers, reupload, rate)) LIMIT 8""")
+def config_sample(spark, d):
+    grid = D.grid(spark, **_CONFIGS).select(*[F.col(c).cast("int").alias(c) for c in _CONFIGS])
+    return C.config_sample(grid, 8)
+
+
+@query("""WITH s AS (SELECT l_linenumber AS config, l_suppkey AS subject, avg(l_extendedprice) AS s FROM lineitem GROUP BY 1, 2), m AS (SELECT config, count(*) AS n, round(median(s), 6) AS score FROM s GROUP BY 1)
+  SELECT config, n, round(score, 3) AS score, config = (SELECT arg_min(config, (score, config)) FROM m) AS best FROM m""")
+def best_config(spark, d):
+    """Median over suppliers of each line number's mean price, and the smallest."""
+    rows = read(spark, d, "lineitem").select(F.col("l_linenumber").alias("config"), F.col("l_suppkey").alias("subject"), "l_extendedprice")
+    return C.best_config(rows, "config", "subject", "l_extendedprice").withColumn("score", F.round("score", 3))
+
+
+@query("""WITH r AS (SELECT l_suppkey AS subject, l_linenumber % 2 AS run, avg(l_quantity) AS s FROM lineitem GROUP BY 1, 2) SELECT a.subject, round(a.s, 4) AS a, round(b.s, 4) AS b, round(a.s - b.s, 4) + 0.0 AS d FROM r a JOIN r b USING (subject) WHERE a.run = 0 AND b.run = 1""")
+def paired_runs(spark, d):
+    runs = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("subject"), (F.col("l_linenumber") % 2).alias("run")).agg(F.avg("l_quantity").alias("s"))
+    return rounded(C.paired_runs(runs.where("run = 0"), runs.where("run = 1"), "subject", "s"), "subject")
+
+
+@query("""SELECT count(*) FILTER (WHERE a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL) AS n, count(*) FILTER (WHERE b.doc_id IS NULL) AS only_a, count(*) FILTER (WHERE a.doc_id IS NULL) AS only_b,
+  count(*) FILTER (WHERE a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL AND a.y IS DISTINCT FROM b.y) AS differ FROM (SELECT doc_id, n_chars % 2 AS y FROM documents) a FULL JOIN (SELECT doc_id, quality AS y FROM labels) b ON a.doc_id = b.doc_id""")
+def aligned_sets(spark, d):
+    return C.aligned(read(spark, d, "documents").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("y")), read(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("y")), "doc_id", "y")
+
+
+@query(f"""WITH {_AT} SELECT epoch_id, ch_idx, atom_idx, rank::INT AS rank, round(percent, 4) AS percent FROM (SELECT *, row_number() OVER (PARTITION BY epoch_id, ch_idx ORDER BY energy DESC, atom_idx) AS rank, 100 * energy / sum(energy) OVER (PARTITION BY epoch_id, ch_idx) AS percent FROM atm) WHERE rank <= 3""")
+def explain_atoms(spark, d):
+    """The three strongest atoms of each channel-epoch."""
+    return C.explained(atoms(spark, d)).select("epoch_id", "ch_idx", "atom_idx", "rank", (F.round("percent", 4) + 0.0).alias("percent"))
+
+
+@query("""WITH x AS (SELECT doc_id, n_chars::DOUBLE AS a, (n_chars % 17)::DOUBLE AS b FROM documents), s AS (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb FROM x)
+  SELECT doc_id, round((a - ma) / sa, 5) + 0.0 AS a, round((b - mb) / sb, 5) + 0.0 AS b, 0.0::DOUBLE AS c, 1.0::DOUBLE AS bias FROM x, s""")
+def standardize(spark, d):
+    x = read(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("a"), (F.col("n_chars") % 17).cast("double").alias("b"), F.lit(3.0).alias("c"))
+    return rounded(S.standardized(x, ["a", "b", "c"]), "doc_id", digits=5)
+
+
+@query("SELECT event_type AS channel, round(quantile_cont(value, 0.01), 4) AS low, round(quantile_cont(value, 0.99), 4) AS high FROM events GROUP BY 1")
+def percentile_bounds(spark, d):
+    return rounded(S.percentile_bounds(read(spark, d, "events").select(F.col("event_type").alias("channel"), "value"), "channel", "value"), "channel")
+
+
+@query("""WITH m AS (SELECT l_returnflag AS k, l_quantity - 25 AS p, l_extendedprice / 1500.0 - 25 AS y FROM lineitem), g AS (SELECT k, 1 - sum((p - y) * (p - y)) / sum(y * y) AS skill, corr(p, y) AS corr, stddev_samp(y) / stddev_samp(p) AS gain FROM m GROUP BY 1)
+  SELECT k, round(any_value(skill), 5) AS skill, round(any_value(corr), 5) AS corr, round(any_value(gain), 5) AS gain, round(1 - sum((gain * p - y) * (gain * p - y)) / sum(y * y), 5) AS bold FROM m JOIN g USING (k) GROUP BY 1""")
+def forecast_metrics(spark, d):
+    """Quantities as forecasts of scaled prices, against a constant last value."""
+    x = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("k"), F.col("l_quantity").cast("double").alias("p"), (F.col("l_extendedprice") / 1500.0).cast("double").alias("y"), F.lit(25.0).alias("last"))
+    return rounded(S.forecast_metrics(x, "k", "p", "y", "last"), "k", digits=5)
+
+
+@query("SELECT l_suppkey AS subject, round(avg(nullif(l_discount, 0)), 5) AS score, count(nullif(l_discount, 0)) AS n FROM lineitem GROUP BY 1")
+def seed_means(spark, d):
+    """Mean score of each subject over the seeds that gave one."""
+    x = F.nullif(F.col("l_discount"), F.lit(0))
+    return read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("subject")).agg(F.round(F.avg(x), 5).alias("score"), F.count(x).alias("n"))
+
+
+@query("SELECT vec_id, len(x) AS k, round(list_sum(x), 5) + 0.0 AS total FROM (SELECT vec_id, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS x FROM embeddings)")
+def leading_components(spark, d):
+    """The first eight components of each vector."""
+    x = F.slice(F.col("embedding").cast("array<double>"), 1, 8)
+    return read(spark, d, "embeddings").select("vec_id", F.size(x).cast("bigint").alias("k"), (F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), 5) + 0.0).alias("total"))
+
+
+@query("SELECT doc_id AS id, 'document' AS kind FROM documents UNION SELECT item_id::VARCHAR, 'benchmark' FROM benchmark".replace("doc_id AS id", "doc_id::VARCHAR AS id"))
+def union_cases(spark, d):
+    parts = [read(spark, d, t).select(F.col(c).cast("string").alias("id"), F.lit(k).alias("kind")) for t, c, k in (("documents", "doc_id", "document"), ("benchmark", "item_id", "benchmark"))]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+@query(None)
+def epoch_features(spark, d):
+    """From signals to feature rows: atoms of every vector, the 13 statistics of its channel, the 18 of its epoch; five vectors are an epoch."""
+    signals = read(spark, d, "embeddings").select((F.col("vec_id") / 5).cast("bigint").alias("epoch_id"), (F.col("vec_id") % 5).cast("int").alias("ch_idx"), F.col("embedding").cast("array<double>").alias("w"))
+    found = atoms_of(signals, 64, 64.0)
+    return rounded(A.feature_rows(found, 1.0), "epoch_id", "ch_idx", digits=5)
+
+
+@query(None)
+def logreg_out_of_fold(spark, d):
+    """Quality of documents by a logistic regression that saw no document of the same source."""
+    rows = read(spark, d, "documents").join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    x = rows.select("doc_id", "source", "quality", F.log1p(F.length(text)).alias("size"), (F.regexp_count(text, F.lit(r"\s+")) / (F.length(text) + 1)).alias("blanks"), (F.regexp_count(text, F.lit(r"[0-9]")) / (F.length(text) + 1)).alias("digits"), (F.regexp_count(text, F.lit(r"[.!?]")) / (F.length(text) + 1)).alias("stops"))
+    out = M.out_of_fold(x, ["size", "blanks", "digits", "stops"], "quality", "source", 4, n=3)
+    return out.select("doc_id", "source", "fold", "predicted", F.round("probability", 6).alias("probability"))

@@ -73,19 +73,29 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def seizure_spans(lines: DataFrame) -> DataFrame:
-    """Summary lines (``doc, line_no, line``) to ``doc, file, k, start_s, end_s``: the k-th start with the k-th end of a file.
+    """Summary lines (``doc, line_no, line``) to ``doc, file, k, start_s, end_s``: an end belongs to the earliest start before it that is open.
 
-    A line names the file that the lines below it are about; a summary is small,
-    so the carrying window is one summary's lines.
+    A summary is lines of ``name: value``; a line ``File Name`` names the file
+    that the lines below are about, until the next one. A file without a complete
+    seizure has one row with nulls. A summary is small, so the carrying window is
+    one summary's lines.
     """
-    file = F.regexp_extract("line", r"^File Name:\s*(\S+)", 1)
-    mark = F.regexp_extract("line", r"^Seizure(?:\s+\d+)?\s+(Start|End) Time:\s*(\d+)", 1)
-    value = F.regexp_extract("line", r"^Seizure(?:\s+\d+)?\s+(?:Start|End) Time:\s*(\d+)", 1)
-    carried = F.last(F.when(file != "", file), True).over(Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    held = lines.withColumns({"file": carried, "kind": F.lower(mark), "v": value.try_cast("double")}).where("file is not null and kind <> ''")
-    ranked = held.withColumn("k", F.row_number().over(Window.partitionBy("doc", "file", "kind").orderBy("line_no")))
-    pairs = ranked.groupBy("doc", "file", "k").agg(F.max(F.when(F.col("kind") == "start", F.col("v"))).alias("start_s"), F.max(F.when(F.col("kind") == "end", F.col("v"))).alias("end_s"))
-    return pairs.where("start_s is not null and end_s is not null")
+    key, value = F.lower(F.trim(F.substring_index("line", ":", 1))), F.trim(F.substring(F.col("line"), F.instr("line", ":") + 1, 1 << 20))
+    read_ = lines.withColumns({"key": key, "text": value})
+    file = F.when((F.col("key") == "file name") & (F.col("text") != ""), F.substring_index("text", " ", 1))
+    inside = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    held = read_.withColumn("file", F.last(file, True).over(inside)).where("file is not null")
+    kind = F.when(F.col("key").startswith("seizure") & F.col("key").endswith("start time"), "start").when(F.col("key").startswith("seizure") & F.col("key").endswith("end time"), "end")
+    marks = held.select("doc", "file", "line_no", kind.alias("kind"), F.substring_index("text", " ", 1).try_cast("double").alias("v")).where("kind is not null and v is not null")
+    order = Window.partitionBy("doc", "file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    # an end that finds no open start is void: ends so far less starts so far never rises above its last top
+    excess = F.sum(F.when(F.col("kind") == "end", 1).otherwise(-1)).over(order)
+    marks = marks.withColumn("excess", excess).withColumn("void", F.greatest(F.max("excess").over(order), F.lit(0)))
+    starts = marks.withColumn("before", F.coalesce(F.max("void").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    real = starts.where((F.col("kind") == "start") | (F.col("void") == F.col("before")))
+    ranked = real.withColumn("k", F.row_number().over(Window.partitionBy("doc", "file", "kind").orderBy("line_no")))
+    pairs = ranked.groupBy("doc", "file", "k").agg(F.max(F.when(F.col("kind") == "start", F.col("v"))).alias("start_s"), F.max(F.when(F.col("kind") == "end", F.col("v"))).alias("end_s")).where("start_s is not null and end_s is not null")
+    return held.select("doc", "file").distinct().join(pairs, ["doc", "file"], "left").select("doc", "file", "k", "start_s", "end_s")
 
 
 def clock_seconds(text) -> F.Column:
