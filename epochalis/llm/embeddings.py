@@ -98,14 +98,19 @@ def list_links(pivot: int, mine: np.ndarray, theirs: np.ndarray | None, least: i
     u = unit(vectors)
     for lo in range(0, len(mine), 256):
         a = mine[lo : lo + 256]
-        ok = u[a] @ u[second].T >= threshold
-        if pivot >= 0:
-            ok &= member[a] @ member[second].T >= least
-            if pivot:
-                ok &= member[a, :pivot] @ member[second, :pivot].T == 0
+        # candidates first, by what they share; only they are verified
+        ok = np.ones((len(a), len(second)), bool) if pivot < 0 else member[a] @ member[second].T >= least
+        if pivot > 0:
+            ok &= member[a, :pivot] @ member[second, :pivot].T == 0
         if theirs is None:
             ok &= a[:, None] < second[None, :]
-        i, j = np.nonzero(ok)
+        if 8 * np.count_nonzero(ok) > ok.size:  # so many that one product of all is less work
+            ok &= u[a] @ u[second].T >= threshold
+            i, j = np.nonzero(ok)
+        else:
+            i, j = np.nonzero(ok)
+            near = np.concatenate([np.einsum("ij,ij->i", u[a[i[k : k + 65536]]], u[second[j[k : k + 65536]]]) for k in range(0, len(i), 65536)] or [np.zeros(0)]) >= threshold
+            i, j = i[near], j[near]
         found.append(np.column_stack((a[i], second[j])))
     return np.concatenate(found) if found else np.zeros((0, 2), int)
 
