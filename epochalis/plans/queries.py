@@ -492,17 +492,17 @@ def config_sample(spark, d):
 
 
 @query("""WITH s AS (SELECT l_linenumber AS config, l_suppkey AS subject, avg(l_extendedprice) AS s FROM lineitem GROUP BY 1, 2), m AS (SELECT config, count(*) AS n, round(median(s), 6) AS score FROM s GROUP BY 1)
-  SELECT config, n, round(score, 3) AS score, config = (SELECT arg_min(config, (score, config)) FROM m) AS best FROM m""")
+  SELECT config, n, score, config = (SELECT arg_min(config, (score, config)) FROM m) AS best FROM m""")
 def best_config(spark, d):
     """Median over suppliers of each line number's mean price, and the smallest."""
     rows = read(spark, d, "lineitem").select(F.col("l_linenumber").alias("config"), F.col("l_suppkey").alias("subject"), "l_extendedprice")
-    return C.best_config(rows, "config", "subject", "l_extendedprice").withColumn("score", F.round("score", 3))
+    return C.best_config(rows, "config", "subject", "l_extendedprice")
 
 
-@query("""WITH r AS (SELECT l_suppkey AS subject, l_linenumber % 2 AS run, avg(l_quantity) AS s FROM lineitem GROUP BY 1, 2) SELECT a.subject, round(a.s, 4) AS a, round(b.s, 4) AS b, round(a.s - b.s, 4) + 0.0 AS d FROM r a JOIN r b USING (subject) WHERE a.run = 0 AND b.run = 1""")
+@query("""WITH r AS (SELECT l_suppkey AS subject, l_linenumber % 2 AS run, avg(l_quantity) AS s FROM lineitem GROUP BY 1, 2) SELECT a.subject, round(a.s, 8) AS a, round(b.s, 8) AS b, round(a.s - b.s, 8) + 0.0 AS d FROM r a JOIN r b USING (subject) WHERE a.run = 0 AND b.run = 1""")
 def paired_runs(spark, d):
     runs = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("subject"), (F.col("l_linenumber") % 2).alias("run")).agg(F.avg("l_quantity").alias("s"))
-    return rounded(C.paired_runs(runs.where("run = 0"), runs.where("run = 1"), "subject", "s"), "subject")
+    return rounded(C.paired_runs(runs.where("run = 0"), runs.where("run = 1"), "subject", "s"), "subject", digits=8)
 
 
 @query("""SELECT count(*) FILTER (WHERE a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL) AS n, count(*) FILTER (WHERE b.doc_id IS NULL) AS only_a, count(*) FILTER (WHERE a.doc_id IS NULL) AS only_b,
@@ -537,11 +537,11 @@ def forecast_metrics(spark, d):
     return rounded(S.forecast_metrics(x, "k", "p", "y", "last"), "k", digits=5)
 
 
-@query("SELECT l_suppkey AS subject, round(avg(nullif(l_discount, 0)), 5) AS score, count(nullif(l_discount, 0)) AS n FROM lineitem GROUP BY 1")
+@query("SELECT l_suppkey AS subject, round(avg(nullif(l_discount, 0)), 9) AS score, count(nullif(l_discount, 0)) AS n FROM lineitem GROUP BY 1")
 def seed_means(spark, d):
     """Mean score of each subject over the seeds that gave one."""
     x = F.nullif(F.col("l_discount"), F.lit(0))
-    return read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("subject")).agg(F.round(F.avg(x), 5).alias("score"), F.count(x).alias("n"))
+    return read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("subject")).agg(F.round(F.avg(x), 9).alias("score"), F.count(x).alias("n"))
 
 
 @query("SELECT vec_id, len(x) AS k, round(list_sum(x), 5) + 0.0 AS total FROM (SELECT vec_id, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS x FROM embeddings)")
