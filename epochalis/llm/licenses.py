@@ -25,33 +25,62 @@ SENTENCES = {
     "SpdxGPL3": r"spdx-license-identifier gpl-3\.0(?:-only|-or-later)?",
     "SpdxGPL2": r"spdx-license-identifier gpl-2\.0(?:-only|-or-later)?",
     "SpdxBSD3": r"spdx-license-identifier bsd-3-clause",
+    "SpdxAGPL3": r"spdx-license-identifier agpl-3\.0(?:-only|-or-later)?",
+    "SpdxLGPL": r"spdx-license-identifier lgpl-.+",
+    "SpdxBSD2": r"spdx-license-identifier bsd-2-clause",
+    "SpdxMPL2": r"spdx-license-identifier mpl-2\.0",
+    "SpdxISC": r"spdx-license-identifier isc",
+    "SpdxEPL2": r"spdx-license-identifier epl-2\.0",
+    "SpdxBSL1": r"spdx-license-identifier bsl-1\.0",
+    "SpdxUnlicense": r"spdx-license-identifier unlicense",
+    "SpdxZlib": r"spdx-license-identifier zlib",
     "SpdxOther": r"spdx-license-identifier .+",
-    "MITRef": r"(?:this .{0,60}is |it is )?(?:released|licensed|distributed|available) under (?:the )?(?:terms of (?:the )?)?mit(?: license)?",
+    "MITRef": r"(?:this .*is |it is )?(?:released|licensed|distributed|available) under (?:the )?(?:terms of (?:the )?)?mit(?: license)?",
     "MITTitle": r"(?:the )?mit license(?: mit)?",
     "MITPerm": r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files.*",
     "MITNotice": r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "AsIs": r"(?:the|this) software is provided (?:by .{1,80})?as is.*",
-    "NoLiability": r"in no event shall .+",
-    "ApacheRef": r"(?:this .{0,60}is )?(?:licensed|released|distributed) under the apache license version 2\.0(?: the license.*)?",
+    "AsIs": r"(?:the|this) software is provided (?:by .+)?as is.*",
+    "NoLiability": r"in no event (?:shall|will) .+",
+    "ApacheRef": r"(?:this .*is )?(?:licensed|released|distributed) under the apache license version 2\.0(?: the license.*)?",
     "ApacheTitle": r"apache license(?: version 2\.0.*)?",
     "ApacheUse": r"you may not use this file except in compliance with the license",
     "ApacheCopy": r"you may obtain a copy of the license at.*",
     "ApacheLaw": r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis.*",
-    "GPL3Ref": r"(?:this .{0,60}is |it is )?(?:licensed|released|distributed) under the gnu general public license version 3(?:\.0)?(?: or any later version)?",
-    "GPL2Ref": r"(?:this .{0,60}is |it is )?(?:licensed|released|distributed) under the gnu general public license version 2(?:\.0)?(?: or any later version)?",
+    "GPL3Ref": r"(?:this .*is |it is )?(?:licensed|released|distributed) under the gnu general public license version 3(?:\.0)?(?: or any later version)?",
+    "GPL2Ref": r"(?:this .*is |it is )?(?:licensed|released|distributed) under the gnu general public license version 2(?:\.0)?(?: or any later version)?",
+    "AGPLTitle": r"gnu affero general public license.*",
+    "LGPLTitle": r"gnu (?:lesser|library) general public license.*",
+    "AGPLRedist": r"this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license.*",
+    "LGPLRedist": r"this (?:library|program) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license.*",
+    "GPL3Redist": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3.*",
+    "GPL2Redist": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation (?:either )?version 2.*",
+    "GPLCopy": r"you should have received a copy of the gnu .*license along with.*",
+    "LGPLHope": r"this library is distributed in the hope that it will be useful.*",
+    "ISCPerm": r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "ISCDisclaim": r"the software is provided as is and the author disclaims all warranties with regard to this software.*",
+    "ISCTitle": r"(?:the )?isc license(?: isc)?",
+    "UnlicenseFree": r"this is free and unencumbered software released into the public domain",
+    "UnlicenseAnyone": r"anyone is free to copy modify publish use compile sell or distribute this software.*",
+    "BSLTitle": r"boost software license - version 1\.0.*",
+    "BSLPerm": r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license.*",
+    "EPL2Ref": r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v )?2\.0.*",
+    "EPL2Title": r"eclipse public license - v 2\.0",
+    "ZlibPerm": r"permission is granted to anyone to use this software for any purpose including commercial applications.*",
+    "ZlibAsIs": r"this software is provided as-is without any express or implied warranty",
+    "MPL2Title": r"mozilla public license (?:version )?2\.0",
     "GPLTitle": r"gnu general public license.*",
     "GPLRedist": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation.*",
     "GPLHope": r"this program is distributed in the hope that it will be useful.*",
-    "LGPLRef": r"(?:this .{0,60}is )?(?:licensed|released|distributed) under the gnu lesser general public license.*",
-    "CCBYNC4": r"(?:this .{0,60}is )?licensed under (?:a )?(?:cc by-nc 4\.0|creative commons attribution-noncommercial 4\.0 international)(?: license)?",
-    "CCBYSA4": r"(?:this .{0,60}is )?licensed under (?:a )?(?:cc by-sa 4\.0|creative commons attribution-sharealike 4\.0 international)(?: license)?",
-    "CCBY4": r"(?:this .{0,60}is )?licensed under (?:a )?(?:cc by 4\.0|creative commons attribution 4\.0 international)(?: license)?",
-    "CC0": r"(?:this .{0,60}is )?(?:licensed|released|dedicated) .{0,30}(?:cc0.*|public domain)",
+    "LGPLRef": r"(?:this .*is )?(?:licensed|released|distributed) under the gnu lesser general public license.*",
+    "CCBYNC4": r"(?:this .*is )?licensed under (?:a )?(?:cc by-nc 4\.0|creative commons attribution-noncommercial 4\.0 international)(?: license)?",
+    "CCBYSA4": r"(?:this .*is )?licensed under (?:a )?(?:cc by-sa 4\.0|creative commons attribution-sharealike 4\.0 international)(?: license)?",
+    "CCBY4": r"(?:this .*is )?licensed under (?:a )?(?:cc by 4\.0|creative commons attribution 4\.0 international)(?: license)?",
+    "CC0": r"(?:this .*is )?(?:licensed|released|dedicated) .*(?:cc0.*|public domain)",
     "BSDRedist": r"redistribution and use in source and binary forms with or without modification are permitted provided that.*",
     "BSDSource": r"redistributions of source code must retain the above copyright notice.*",
     "BSDBinary": r"redistributions in binary form must reproduce the above copyright notice.*",
-    "BSDEndorse": r"neither the name of .{1,200}may be used to endorse or promote products.*",
-    "BSDRef": r"(?:this .{0,60}is )?(?:licensed|released|distributed) under (?:the|a) (?:3-clause )?bsd(?: 3-clause)?(?:-style)?(?: license)?",
+    "BSDEndorse": r"neither the name of .+may be used to endorse or promote products.*",
+    "BSDRef": r"(?:this .*is )?(?:licensed|released|distributed) under (?:the|a) (?:3-clause )?bsd(?: 3-clause)?(?:-style)?(?: license)?",
     "MPL2Ref": r"this source code form is subject to the terms of the mozilla public license v\.? ?2\.0",
     "Proprietary": r"(?:proprietary|confidential)(?: and (?:proprietary|confidential))?",
 }
@@ -61,8 +90,17 @@ RULES = (
     ("MIT", ("MITTitle", "MITPerm")),
     ("BSD-3-Clause", ("BSDRedist", "BSDSource", "BSDBinary", "BSDEndorse", "AsIs?", "NoLiability?")),
     ("BSD-2-Clause", ("BSDRedist", "BSDSource", "BSDBinary", "AsIs?", "NoLiability?")),
+    ("ISC", ("ISCPerm", "ISCDisclaim?", "AsIs?", "NoLiability?")),
+    ("Unlicense", ("UnlicenseFree", "UnlicenseAnyone?", "AsIs?", "NoLiability?")),
+    ("BSL-1.0", ("BSLTitle?", "BSLPerm", "AsIs?", "NoLiability?")),
+    ("Zlib", ("ZlibAsIs?", "NoLiability?", "ZlibPerm")),
+    ("EPL-2.0", ("EPL2Ref",)),
+    ("AGPL-3.0", ("AGPLRedist", "GPLHope?", "GPLCopy?")),
+    ("LGPL", ("LGPLRedist", "LGPLHope?", "GPLHope?", "GPLCopy?")),
+    ("GPL-3.0", ("GPL3Redist", "GPLHope?", "GPLCopy?")),
+    ("GPL-2.0", ("GPL2Redist", "GPLHope?", "GPLCopy?")),
     ("Apache-2.0", ("ApacheRef", "ApacheUse?", "ApacheCopy?", "ApacheLaw?")),
-    ("GPL", ("GPLRedist", "GPLHope?")),
+    ("GPL", ("GPLRedist", "GPLHope?", "GPLCopy?")),
     ("GPL-3.0", ("GPL3Ref",)),
     ("GPL-2.0", ("GPL2Ref",)),
     ("LGPL", ("LGPLRef",)),
@@ -78,14 +116,29 @@ RULES = (
     ("GPL-3.0", ("SpdxGPL3",)),
     ("GPL-2.0", ("SpdxGPL2",)),
     ("BSD-3-Clause", ("SpdxBSD3",)),
+    ("AGPL-3.0", ("SpdxAGPL3",)),
+    ("LGPL", ("SpdxLGPL",)),
+    ("BSD-2-Clause", ("SpdxBSD2",)),
+    ("MPL-2.0", ("SpdxMPL2",)),
+    ("ISC", ("SpdxISC",)),
+    ("EPL-2.0", ("SpdxEPL2",)),
+    ("BSL-1.0", ("SpdxBSL1",)),
+    ("Unlicense", ("SpdxUnlicense",)),
+    ("Zlib", ("SpdxZlib",)),
     ("MIT", ("MITTitle",)),
+    ("ISC", ("ISCTitle",)),
+    ("BSL-1.0", ("BSLTitle",)),
+    ("EPL-2.0", ("EPL2Title",)),
+    ("MPL-2.0", ("MPL2Title",)),
+    ("AGPL-3.0", ("AGPLTitle",)),
+    ("LGPL", ("LGPLTitle",)),
     ("Apache-2.0", ("ApacheTitle",)),
     ("GPL", ("GPLTitle",)),
     ("Proprietary", ("AllRights", "Proprietary")),
     ("AllRightsReserved", ("AllRights",)),
 )
 #: a text without any of these has no licence sentence
-SIGNS = r"(?i:licen[sc]e|copyright|all rights reserved|permission is hereby|public domain|redistribut|cc0|proprietary|confidential|software is provided|in no event shall|free software|hope that it will|mit license|neither the name)"
+SIGNS = r"(?i:licen[sc]e|copyright|all rights reserved|permission is hereby|public domain|redistribut|cc0|proprietary|confidential|software is provided|in no event (?:shall|will)|free software|hope that it will|mit license|neither the name|permission to use|permission is granted|unencumbered|anyone is free|accompanying materials)"
 
 
 #: comment marks at the beginnings and ends of lines
