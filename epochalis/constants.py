@@ -9,5 +9,3 @@ SPAN_MS, RAILS, RAIL_SHARE, MAX_ABS_Z, FLAT = (1500.0, 2200.0), (0.0, 1649.0), 0
 #: fixed values: two atoms are simultaneous, or one rhythm, within these
 COINCIDENCE_S, FREQ_TOL_HZ = 0.25, 2.0
 ENERGY_FLOOR = 1e-12
-#: fixed values: history, horizon (steps), risk and recovery (seconds)
-HISTORY, HORIZON, RISK_S, POST_S = 30, 6, 300.0, 600.0

@@ -53,8 +53,8 @@ def run_reservoir(steps: DataFrame, make: Callable[[], object], key: str = "rec_
     return dealt.mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, state array<double>")
 
 
-def ridge(rows: DataFrame, features: str, target: str, alpha: float) -> np.ndarray:
-    """Weights of a ridge readout: partial normal equations of each task, one sum, one solve.
+def normal_sums(rows: DataFrame, features: str, target: str) -> np.ndarray:
+    """Sums of products of all pairs among the features and the target (last): partial sums of each task, one shuffle.
 
     What reaches the driver is a matrix of the number of features squared.
     """
@@ -76,4 +76,40 @@ def ridge(rows: DataFrame, features: str, target: str, alpha: float) -> np.ndarr
     m = np.zeros((size, size))
     for r in sums:
         m[r["i"], r["j"]] = r["v"]
-    return np.linalg.solve(m[:-1, :-1] + alpha * np.eye(size - 1), m[:-1, -1])
+    return m
+
+
+def solved(sums: np.ndarray, alpha: float) -> np.ndarray:
+    return np.linalg.solve(sums[:-1, :-1] + alpha * np.eye(len(sums) - 1), sums[:-1, -1])
+
+
+def ridge(rows: DataFrame, features: str, target: str, alpha: float) -> np.ndarray:
+    """Weights of a ridge readout."""
+    return solved(normal_sums(rows, features, target), alpha)
+
+
+def own_scale(rows: DataFrame, person: str, features: list[str]) -> DataFrame:
+    """Adds ``x``: the features by the mean and sample deviation of the person's training rows (``part`` = 'trn'), 0 where they hardly vary, and a 1 as the last."""
+    stats = rows.where("part = 'trn'").groupBy(person).agg(*[f(c).alias(f"_{k}_{c}") for c in features for k, f in (("m", F.avg), ("s", F.stddev_samp))])
+    z = [F.when(F.col(f"_s_{c}") > 1e-6, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(0.0) for c in features]
+    return rows.join(stats, person).withColumn("x", F.array(*z, F.lit(1.0))).drop(*[f"_{k}_{c}" for c in features for k in "ms"])
+
+
+def pooled_readout(rows: DataFrame, person: str, features: list[str], target: str, alphas=(0.1, 1.0, 10.0, 100.0, 1000.0)) -> tuple[DataFrame, float]:
+    """``person, skill`` on test rows, and the penalty: one readout trained on all people's training rows.
+
+    ``part`` is trn, val or tst; the target is a deviation from the last value, so
+    that predicting nothing is persistence. The penalty is the one with the best
+    skill on validation rows, which the sums of products of those rows give
+    without another pass.
+    """
+    held = own_scale(rows, person, features)
+    train, val = (normal_sums(held.where(F.col("part") == p), "x", target) for p in ("trn", "val"))
+    tried = [(a, solved(train, a)) for a in alphas]
+    left = lambda w: np.append(w, -1) @ val @ np.append(w, -1) if len(val) > 1 else 0.0
+    alpha, w = min(tried, key=lambda t: left(t[1]))
+    weights = F.array(*[F.lit(float(v)) for v in w])
+    guess = F.aggregate(F.zip_with("x", weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    tests = held.where("part = 'tst'").withColumn("_d", guess - F.col(target))
+    skill = 1 - F.sum(F.col("_d") * F.col("_d")) / F.greatest(F.sum(F.col(target) * F.col(target)), F.lit(1e-12))
+    return tests.groupBy(person).agg(skill.alias("skill")), alpha

@@ -10,17 +10,6 @@ from ..constants import FLAT, MAX_ABS_Z, RAIL_SHARE, RAILS, SPAN_MS
 EPOCH = ["rec_id", "epoch"]
 
 
-def with_epochs(samples: DataFrame, width: int) -> DataFrame:
-    """Tumbling windows by sample count; a recording's last partial window goes.
-
-    Sizes come from an aggregation of (recording, epoch), so no window function
-    sees more than one epoch.
-    """
-    held = samples.withColumn("epoch", F.floor(F.col("sample_idx") / width).cast("bigint"))
-    whole = held.groupBy(EPOCH).agg(F.count("*").alias("n")).where(F.col("n") == width).select(EPOCH)
-    return held.join(whole, EPOCH)
-
-
 def epoch_table(samples: DataFrame, width: int) -> DataFrame:
     """One row an epoch: ``rec_id, epoch, start, span_ms, w`` with ``w`` the values in order."""
     held = samples.withColumn("epoch", F.floor(F.col("sample_idx") / width).cast("bigint"))
@@ -46,6 +35,17 @@ def gate_reason(w: Column, span_ms: Column, span=SPAN_MS, rails=RAILS, rail_shar
     return out.when(sd < FLAT * (1 + F.abs(mean)), "near_constant").when(peak > max_abs_z * sd, "artifact")
 
 
+def montage_gate(reasons: DataFrame, require_all: bool = True) -> DataFrame:
+    """``rec_id, epoch, n_channels, n_bad, reason`` from ``rec_id, epoch, channel, reason``: why an epoch of several channels goes, null if it stays.
+
+    The reason is the one of the first failing channel. Without ``require_all``
+    an epoch goes only if all of its channels fail.
+    """
+    first = F.min(F.when(F.col("reason").isNotNull(), F.struct("channel", "reason")))["reason"]
+    out = reasons.groupBy(EPOCH).agg(F.count("*").alias("n_channels"), F.count("reason").alias("n_bad"), first.alias("reason"))
+    return out if require_all else out.withColumn("reason", F.when(F.col("n_bad") == F.col("n_channels"), F.col("reason")))
+
+
 def normalised(w: Column) -> Column:
     """Mean removed, unit length; null where the length is under 1e-6."""
     mean = mean_of(w)

@@ -56,7 +56,26 @@ def valid_samples(df: DataFrame, key: str, idx: str, group: str, history: int, h
     return ends.where(F.col(f"lag_{history - 1}") == F.col(f"lag_m{horizon}")).drop(f"lag_{history - 1}", f"lag_m{horizon}")
 
 
-def pair_fifo(marks: DataFrame, key: str, kind: str, order: str) -> DataFrame:
-    """Pairs the k-th start with the k-th end of a key (kinds ``start`` and ``end``, column ``value``)."""
-    ranked = marks.withColumn("k", F.row_number().over(Window.partitionBy(key, kind).orderBy(order)))
-    return ranked.groupBy(key, "k").agg(F.max(F.when(F.col(kind) == "start", F.col("value"))).alias("start_s"), F.max(F.when(F.col(kind) == "end", F.col("value"))).alias("end_s")).where("start_s is not null and end_s is not null")
+def first_after(onsets: DataFrame, steps: DataFrame, key: str, width: float, bucket: float) -> DataFrame:
+    """Adds ``step`` and ``t`` to onsets (key, ``s``, unique ``onset_id``): the first step of the key (``t``, ``step``) that ends after the onset, t + width > s; null where there is none.
+
+    Steps of equal time: the smallest. Onsets look into their time bucket by an
+    equality join; where nothing follows there, the first step of the next bucket
+    that has one is taken, from a table of one row a bucket.
+    """
+    o = onsets.withColumns({"_from": F.col("s") - width, "_b": F.floor((F.col("s") - width) / bucket).cast("bigint")})
+    dealt = steps.select(key, F.struct("t", "step").alias("_p"), F.floor(F.col("t") / bucket).cast("bigint").alias("_b"))
+    near = o.select("onset_id", key, "_b", "_from").join(dealt, [key, "_b"]).where(F.col("_p.t") > F.col("_from")).groupBy("onset_id").agg(F.min("_p").alias("_near"))
+    firsts = dealt.groupBy(key, "_b").agg(F.min("_p").alias("_p"))
+    later = Window.partitionBy(key).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    marked = firsts.join(o.select(key, "_b").distinct(), [key, "_b"], "full").withColumn("_next", F.last("_p", True).over(later)).select(key, "_b", "_next")
+    found = o.join(near, "onset_id", "left").join(marked, [key, "_b"], "left").withColumn("_at", F.coalesce("_near", "_next"))
+    return found.withColumns({"step": F.col("_at.step"), "t": F.col("_at.t")}).drop("_from", "_b", "_near", "_next", "_at")
+
+
+def histories(df: DataFrame, key: str, idx: str, value: str, n: int) -> DataFrame:
+    """Adds ``history``: the last ``n`` values of the key, the row's own last; null where it has fewer."""
+    wide = lagged(df, key, idx, value, list(range(1, n)))
+    lags = [f"lag_{k}" for k in range(1, n)]
+    past = F.array(*[F.col(c) for c in reversed(lags)], F.col(value))
+    return wide.withColumn("history", F.when(F.col(idx) >= n - 1, past)).drop(*lags)

@@ -36,6 +36,30 @@ def file_place(name: Column) -> tuple[Column, Column]:
     return F.coalesce(number, F.lit(1_000_000)), F.coalesce(name.rlike(r"_\d+\+\.[^.]*$"), F.lit(False))
 
 
+def plain_stem(name: Column) -> Column:
+    """A file name without its ending, in lower case, with 0 for the letter o, and without dots and dashes at its end."""
+    return F.regexp_replace(F.translate(F.lower(F.regexp_replace(name, r"\.[^.]*$", "")), "o", "0"), r"[-.]+$", "")
+
+
+def resolved(names: DataFrame, files: DataFrame, case: str) -> DataFrame:
+    """``case, name, file``: the file of its case that an annotation's name means, null if none.
+
+    In this order: the same name; the same plain stem (of several files the
+    first); the only file whose plain stem begins with it; the case's only file.
+    Beginnings are spelled out on the files' side, so that every step is an
+    equality join, whatever the size of a case.
+    """
+    held = names.select(case, "name").distinct().withColumn("stem", plain_stem(F.col("name")))
+    disk = files.select(case, "file").distinct().withColumn("stem", plain_stem(F.col("file")))
+    same = disk.select(case, F.col("file").alias("name"), F.col("file").alias("f1"))
+    stems = disk.groupBy(case, "stem").agg(F.min("file").alias("f2"))
+    heads = disk.where("stem <> ''").select(case, "file", F.explode(F.expr("transform(sequence(1, length(stem)), k -> left(stem, k))")).alias("stem"))
+    heads = heads.groupBy(case, "stem").agg(F.min("file").alias("f3"), F.count("*").alias("n")).where("n = 1").drop("n")
+    only = disk.groupBy(case).agg(F.min("file").alias("f4"), F.count("*").alias("n")).where("n = 1").drop("n")
+    out = held.join(same, [case, "name"], "left").join(stems, [case, "stem"], "left").join(heads, [case, "stem"], "left").join(only, case, "left")
+    return out.select(case, "name", F.coalesce("f1", "f2", "f3", "f4").alias("file"))
+
+
 def whole_montage(samples: DataFrame, key: str, n_channels: int) -> DataFrame:
     """Recordings that have all channels."""
     seen = samples.groupBy(key).agg(F.countDistinct("channel").alias("n")).where(F.col("n") == n_channels).select(key)

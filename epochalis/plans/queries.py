@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import BANDS
 from ..functions import models as M
 from ..functions.pursuit import atoms_of
-from ..functions.reservoirs import EchoState, ridge, run_reservoir
+from ..functions.reservoirs import EchoState, pooled_readout, ridge, run_reservoir
 from ..operators import atoms as A
 from ..operators import dictionary as D
 from ..operators import epochs as E
@@ -18,7 +18,7 @@ from ..operators import intervals as I
 from ..operators import selection as C
 from ..operators import statistics as S
 from ..sources.recordings import clock_seconds, montage
-from ..sources.tables import atoms, read, samples
+from ..sources.tables import atoms, ordered_index, read, samples
 
 WIDTH, HOP = 16, 8
 QUERIES: dict = {}
@@ -577,3 +577,65 @@ def logreg_out_of_fold(spark, d):
     x = rows.select("doc_id", "source", "quality", F.log1p(F.length(text)).alias("size"), (F.regexp_count(text, F.lit(r"\s+")) / (F.length(text) + 1)).alias("blanks"), (F.regexp_count(text, F.lit(r"[0-9]")) / (F.length(text) + 1)).alias("digits"), (F.regexp_count(text, F.lit(r"[.!?]")) / (F.length(text) + 1)).alias("stops"))
     out = M.out_of_fold(x, ["size", "blanks", "digits", "stops"], "quality", "source", 4, n=3)
     return out.select("doc_id", "source", "fold", "predicted", F.round("probability", 6).alias("probability"))
+
+
+@query(f"""WITH {_IV}, near AS (SELECT o.event_id AS onset_id, w.window_id AS step, w.t0, row_number() OVER (PARTITION BY o.event_id ORDER BY w.t0, w.window_id) AS r
+  FROM events o JOIN win w ON o.user_id = w.k AND w.t0 + 600 > (epoch_us(o.ts) // 1000) / 1000.0 WHERE o.event_type = 'error')
+  SELECT event_id AS onset_id, step, round(t0, 3) AS t FROM events LEFT JOIN near ON onset_id = event_id AND r = 1 WHERE event_type = 'error'""")
+def first_step_after(spark, d):
+    """The first ten-minute step of a user that ends after each of the user's errors."""
+    t = F.unix_millis(F.col("ts").cast("timestamp")) / 1000.0
+    e = read(spark, d, "events").select("event_id", F.col("user_id").alias("k"), "event_type", t.alias("t"))
+    onsets = e.where("event_type = 'error'").select(F.col("event_id").alias("onset_id"), "k", F.col("t").alias("s"))
+    steps = e.where("event_type <> 'error'").select("k", "t", F.col("event_id").alias("step"))
+    return I.first_after(onsets, steps, "k", 600.0, 86400.0).select("onset_id", "step", F.round("t", 3).alias("t"))
+
+
+@query(f"""WITH {_STEPS}, h AS (SELECT rec_id, sample_idx, list(value) OVER (PARTITION BY rec_id ORDER BY sample_idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS v FROM st)
+  SELECT rec_id, sample_idx, round(v[1] + 2 * v[2] + 3 * v[3] + 4 * v[4] + 5 * v[5] + 6 * v[6], 4) + 0.0 AS weighted FROM h WHERE len(v) = 6""")
+def history_arrays(spark, d):
+    """Six values before and at each sample, summed with rising weights so that their order shows."""
+    held = I.histories(samples(spark, d), "rec_id", "sample_idx", "value", 6).where("history is not null")
+    weighted = F.aggregate(F.zip_with("history", F.array(*[F.lit(float(k)) for k in range(1, 7)]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return held.select("rec_id", "sample_idx", (F.round(weighted, 4) + 0.0).alias("weighted"))
+
+
+@query(f"""WITH s AS (SELECT user_id AS rec_id, event_type AS channel, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS i, epoch_us(ts) // 1000 AS ms, value FROM events),
+  ep AS (SELECT rec_id, channel, i // 4 AS epoch, max(ms) - min(ms) AS span_ms, avg(value) AS mean, stddev_pop(value) AS sd, max(value) AS hi, min(value) AS lo,
+  avg(CASE WHEN value <= 0.5 OR value >= 480.0 THEN 1.0 ELSE 0.0 END) AS railed FROM s GROUP BY 1, 2, 3 HAVING count(*) = 4),
+  g AS (SELECT rec_id, epoch, count(*) AS n_channels, count(reason) AS n_bad, min_by(reason, channel) FILTER (reason IS NOT NULL) AS reason FROM (SELECT *, {_REASON} AS reason FROM ep) GROUP BY 1, 2)
+  SELECT rec_id, epoch, n_channels, n_bad, reason, CASE WHEN n_bad = n_channels THEN reason END AS reason_if_all FROM g""")
+def montage_gate(spark, d):
+    """Event types are a user's channels, four values an epoch: why an epoch goes if all channels must pass, and if one is enough."""
+    e = read(spark, d, "events").select(F.struct("user_id", "event_type").alias("rec_id"), "event_id", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "value")
+    ep = E.epoch_table(ordered_index(e, "rec_id", F.to_date("ts"), "ts", "event_id"), 4)
+    reasons = ep.select(F.col("rec_id.user_id").alias("rec_id"), "epoch", F.col("rec_id.event_type").alias("channel"), E.gate_reason(F.col("w"), F.col("span_ms"), **GATE).alias("reason"))
+    some = E.montage_gate(reasons, False).select("rec_id", "epoch", F.col("reason").alias("reason_if_all"))
+    return E.montage_gate(reasons).join(some, ["rec_id", "epoch"])
+
+
+_STEM = lambda c: f"rtrim(replace(lower(regexp_replace({c}, '\\.[^.]*$', '')), 'o', '0'), '-.')"
+
+
+@query(f"""WITH f AS (SELECT s_nationkey AS c, 'PN0' || s_nationkey || '-' || s_suppkey || '.edf' AS file, s_suppkey AS i FROM supplier),
+  n AS (SELECT DISTINCT c, CASE i % 4 WHEN 0 THEN file WHEN 1 THEN replace(file, '0', 'O') WHEN 2 THEN replace(file, '.', '-.') ELSE left(file, length(file) - 5) || '.edf' END AS name FROM f),
+  p AS (SELECT c, name, {_STEM('name')} AS stem FROM n), q AS (SELECT c, file, {_STEM('file')} AS stem FROM f), j AS (SELECT p.c, p.name, q.file, q.file = p.name AS same, q.stem = p.stem AS equal, starts_with(q.stem, p.stem) AS begins
+  FROM p JOIN q ON p.c = q.c) SELECT c AS case_id, name, coalesce(min(file) FILTER (same), min(file) FILTER (equal), CASE WHEN count(*) FILTER (begins) = 1 THEN min(file) FILTER (begins) END, CASE WHEN count(*) = 1 THEN min(file) END) AS file FROM j GROUP BY 1, 2""")
+def resolve_names(spark, d):
+    """Suppliers as files of their nations, and as annotations that spell them as they are, with letters for zeros, with a dash, or cut."""
+    s = read(spark, d, "supplier")
+    f = s.select(F.col("s_nationkey").alias("case_id"), F.concat(F.lit("PN0"), F.col("s_nationkey").cast("string"), F.lit("-"), F.col("s_suppkey").cast("string"), F.lit(".edf")).alias("file"), (F.col("s_suppkey") % 4).alias("i"))
+    name = F.when(F.col("i") == 0, F.col("file")).when(F.col("i") == 1, F.replace("file", F.lit("0"), F.lit("O"))).when(F.col("i") == 2, F.replace("file", F.lit("."), F.lit("-.")))
+    names = f.select("case_id", name.otherwise(F.expr("left(file, length(file) - 5) || '.edf'")).alias("name"))
+    return C.resolved(names, f, "case_id")
+
+
+@query(None)
+def pooled_skill(spark, d):
+    """Skill of one readout of all recordings on the last quarter of each, from the three last values."""
+    t = I.lagged(samples(spark, d), "rec_id", "sample_idx", "value", [-1, 1, 2])
+    n = t.groupBy("rec_id").agg(F.count("*").alias("n"))
+    place = F.col("sample_idx") / F.col("n")
+    rows = t.join(n, "rec_id").dropna().withColumns({"part": F.when(place < 0.5, "trn").when(place < 0.75, "val").otherwise("tst"), "y": F.col("lag_m1") - F.col("value")})
+    skill, _ = pooled_readout(rows, "rec_id", ["value", "lag_1", "lag_2"], "y")
+    return rounded(skill, "rec_id")

@@ -62,13 +62,16 @@ def verified(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Headset CSV: ``label, path, ms, channel, value``; rows with a missing or non-numeric cell go."""
-    raw = spark.read.option("header", True).csv(path)
-    names = [f"{c}_RAW" for c in CSV_CHANNELS]
-    if any(n not in raw.columns for n in [*names, "ms_ELAPSED"]):
-        return spark.createDataFrame([], "label string, path string, ms double, channel string, value double")
-    cells = raw.select(F.input_file_name().alias("path"), F.expr("try_cast(ms_ELAPSED as double)").alias("ms"), *[F.expr(f"try_cast({n} as double)").alias(n) for n in names]).dropna()
-    long = cells.select("path", "ms", F.explode(F.create_map(*[x for c in CSV_CHANNELS for x in (F.lit(c), F.col(f"{c}_RAW"))])).alias("channel", "value"))
+    """Headset CSV: ``label, path, ms, channel, value``; rows with a missing or non-numeric cell go.
+
+    Each file is read by its own header, so columns may stand in any order; a
+    file that lacks one, or has no header, gives no rows.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace("value", '"', ""), r"\s*,\s*").alias("cells"))
+    heads = lines.where(F.array_contains("cells", "ms_ELAPSED")).groupBy("path").agg(F.min("cells").alias("names"))
+    cell = lambda name: F.get("cells", (F.array_position("names", name) - 1).cast("int")).try_cast("double")
+    cells = lines.join(heads, "path").select("path", cell("ms_ELAPSED").alias("ms"), *[cell(f"{c}_RAW").alias(c) for c in CSV_CHANNELS]).dropna()
+    long = cells.select("path", "ms", F.explode(F.create_map(*[x for c in CSV_CHANNELS for x in (F.lit(c), F.col(c))])).alias("channel", "value"))
     return long.withColumn("label", F.element_at(F.split("path", "/"), -2))
 
 

@@ -93,6 +93,10 @@ def test_csv_and_annotations(spark, tmp_path):
     (d / "x.csv").write_text("ms_ELAPSED,TP9_RAW,AF7_RAW,AF8_RAW,TP10_RAW\n0,1,2,3,4\n4,,2,3,4\n8,a,2,3,4\n12,5,6,7,8\n")
     rows = R.read_csv(spark, str(d)).collect()
     assert len(rows) == 8 and {r["label"] for r in rows} == {"rest"}
+    (d / "turned.csv").write_text("AF8_RAW,TP10_RAW,ms_ELAPSED,AF7_RAW,TP9_RAW\n3,4,0,2,1\n")
+    (d / "bad.csv").write_text("ms_ELAPSED,TP9_RAW\n0,1\n")
+    turned = [r for r in R.read_csv(spark, str(d)).collect() if not r["path"].endswith(rows[0]["path"].rsplit("/", 1)[1])]
+    assert {(r["channel"], r["value"]) for r in turned} == {("TP9", 1.0), ("AF7", 2.0), ("AF8", 3.0), ("TP10", 4.0)}
     lines = ["File Name: a.edf", "Seizure Start Time: 10 seconds", "Seizure End Time: 20 seconds", "File Name: b.edf", "File Name: c.edf", "Seizure 1 Start Time: 5 seconds", "Seizure 2 Start Time: 50 seconds", "Seizure 1 End Time: 8 seconds", "Seizure 2 End Time: 60 seconds"]
     df = spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "doc string, line_no int, line string")
     got = sorted(((r["file"], r["start_s"], r["end_s"]) for r in R.seizure_spans(df).collect()), key=str)
