@@ -78,61 +78,62 @@ def _local(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> Dat
                 keep = [stays[rep][2] for rep in first]
                 columns = [
                     batch.column(0).slice(lo, len(raw)), pa.array(range(at, at + len(raw)), pa.int64()), pa.array([at + r for r in first], pa.int64()), pa.array([size[r] for r in first], pa.int64()), pa.array([at + k for k in keep], pa.int64()),
-                    batch.column(0).slice(lo, len(raw)).take(pa.array(keep, pa.int64())), pa.array([digest[r] for r in first], pa.string()), pa.array([texts[r] if r == row else None for row, r in enumerate(first)], pa.binary()), *(c.slice(lo, len(raw)) for c in batch.columns[2:]),
+                    batch.column(0).slice(lo, len(raw)).take(pa.array(keep, pa.int64())), pa.array([digest[r] for r in first], pa.string()), pa.array([texts[r][:DIGIT] if r == row else None for row, r in enumerate(first)], pa.binary()), pa.array([texts[r] if r == row else None for row, r in enumerate(first)], pa.binary()), *(c.slice(lo, len(raw)) for c in batch.columns[2:]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)
                 at += len(raw)
 
-    names = ["id", "uid", "rep", "n", "keep", "keep_id", "digest", "text", *(["carried"] if carry else [])]
+    names = ["id", "uid", "rep", "n", "keep", "keep_id", "digest", "head", "text", *(["carried"] if carry else [])]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*[docs[f'`{c}`'] for c in carry]).alias("carried")] if carry else []))
     kind = source.schema["id"].dataType.simpleString()
     more = f", carried {source.schema['carried'].dataType.simpleString()}" if carry else ""
-    return source.mapInArrow(run, f"id {kind}, uid bigint, rep bigint, n bigint, keep bigint, keep_id {kind}, digest string, text binary{more}")
-
-
-def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` with the columns of ``ids(uid, ...)`` for those that are in it; a bit map keeps most others from being shuffled."""
-    return parted(rows, ids.select(F.col("uid").alias("id")), "uid")[0].join(ids, "uid")
+    return source.mapInArrow(run, f"id {kind}, uid bigint, rep bigint, n bigint, keep bigint, keep_id {kind}, digest string, head binary, text binary{more}")
 
 
 def _finish(texts: DataFrame) -> DataFrame:
-    """``uid, class`` of texts (``group, uid, text``) that have an equal in their group; a task holds some groups at once."""
+    """``uid, class`` of texts (``mark, uid, text``) that have an equal of their mark; a task holds some marks at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["group"], GROUP_ROWS):
+        for table in whole_groups(batches, ["mark"], GROUP_ROWS):
             uids = table.column("uid").to_pylist()
             first = radix_classes(table.column("text").to_pylist())
             shared = {rep for row, rep in enumerate(first) if rep != row}
             held = [(uids[row], uids[rep]) for row, rep in enumerate(first) if rep in shared]
             yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in held], pa.int64()) for k in (0, 1)], ["uid", "class"])
 
-    dealt = texts.select("group", "uid", "text").repartition(shuffle_width(texts.sparkSession), "group").sortWithinPartitions("group", "uid")
+    dealt = texts.select("mark", "uid", "text").repartition(shuffle_width(texts.sparkSession), "mark").sortWithinPartitions("mark", "uid")
     return dealt.mapInArrow(run, "uid bigint, class bigint")
 
 
 def _linked(reps: DataFrame) -> DataFrame:
-    """``uid, class`` of the batches' first rows (``uid, text``) that equal one of another batch."""
-    spark = reps.sparkSession
-    active = reps.select("uid", F.lit(0).cast("bigint").alias("group"), "text")
-    at, width, ended, small, used = 0, DIGIT, [], [], []
+    """``uid, class`` of the batches' first rows (``uid, head, text``; the head is the first digit) that equal one of another batch.
+
+    Bit maps of the marks of groups (a hash that only says where to look) are all
+    that is sent to every task: one leaves texts that are alone with their digit
+    where they are, the other parts those of groups that go on to the next digit,
+    with any whose mark falls on the same bit.
+    """
+    active, digit = reps.select("uid", F.lit(0).cast("bigint").alias("group"), "head", "text"), F.col("head")
+    at, width, out, used = 0, DIGIT, [], []
     while True:
-        digits = active.select("uid", "group", F.substring("text", at + 1, width).alias("digit"), F.octet_length("text").cast("bigint").alias("size"))
-        groups = materialise(digits.groupBy("group", "digit").agg(F.count("*").alias("c"), F.sum("size").alias("b"), F.min("uid").alias("next")).where("c > 1"), "radix-groups")
+        marked = active.withColumns({"digit": digit, "size": F.octet_length("text").cast("bigint")}).withColumn("mark", F.xxhash64("group", "digit"))
+        groups = materialise(marked.groupBy("group", "digit", "mark").agg(F.count("*").alias("c"), F.sum("size").alias("b"), F.min("uid").alias("next")).where("c > 1"), "radix-groups")
         over = F.octet_length("digit") < width
-        kind = F.when(over, "ended").when((F.col("c") <= GROUP_ROWS) & (F.col("b") <= GROUP_BYTES), "small").otherwise("large")
-        members = materialise(digits.drop("size").join(groups, ["group", "digit"]).select("uid", F.col("next").alias("group"), kind.alias("kind")), "radix-members")
-        used += [groups, members]
-        ended.append(members.where("kind = 'ended'").select("uid", F.col("group").alias("class")))
-        small.append(members.where("kind = 'small'").select("uid", "group"))
-        large = members.where("kind = 'large'").select("uid", "group")
-        if large.isEmpty():
+        near = ~over & (F.col("c") <= GROUP_ROWS) & (F.col("b") <= GROUP_BYTES)
+        far, rest = parted(marked, groups.where(~near).select(F.col("mark").alias("id")), "mark")
+        members = materialise(far.select("uid", "group", "digit").join(groups, ["group", "digit"]).select("uid", F.col("next").alias("group"), over.alias("over")), "radix-members")
+        alike = parted(rest, groups.where(near).select(F.col("mark").alias("id")), "mark")[0]
+        out += [materialise(_finish(alike), "radix-finished"), members.where("over").select("uid", F.col("group").alias("class"))]
+        used += [groups, members, out[-2]]
+        going = members.where("not over").select("uid", "group")
+        if going.isEmpty():
             break
-        active = _among(reps.select("uid", "text"), large).select("uid", "group", "text")
+        held = parted(reps.select("uid", "text"), going.select(F.col("uid").alias("id")), "uid")[0]
         at, width = at + width, width * LONGER
-    finished = _finish(_among(reps.select("uid", "text"), reduce(DataFrame.unionAll, small)))
-    out = materialise(reduce(DataFrame.unionAll, ended, finished), "radix-classes")
+        active, digit = held.join(going, "uid").select("uid", "group", "text"), F.substring("text", at + 1, width)
+    linked = materialise(reduce(DataFrame.unionAll, out), "radix-classes")
     discard(*used)
-    return out
+    return linked
 
 
 def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -145,13 +146,13 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     none. Other columns, whatever they are called, don't matter.
     """
     rows = materialise(_local(docs, id_col, text_col, list(carry)), "radix-rows")
-    linked = _linked(rows.where("text is not null").select("uid", "text"))
-    firsts = rows.where("text is not null").select("uid", "n", F.struct(F.col("keep_id").isNull().alias("last"), F.col("keep_id").alias("id"), F.col("keep").alias("uid")).alias("best"))
+    linked = _linked(rows.where("head is not null").select("uid", "head", "text"))
+    firsts = rows.where("head is not null").select("uid", "n", F.struct(F.col("keep_id").isNull().alias("last"), F.col("keep_id").alias("id"), F.col("keep").alias("uid")).alias("best"))
     held = firsts.join(linked, "uid")
     whole = held.groupBy("class").agg(F.sum("n").alias("all_n"), F.min("best").alias("stays"))
     told = materialise(linked.join(whole, "class").select(F.col("uid").alias("rep"), "all_n", "stays"), "radix-told")
     discard(linked)
-    out = rows.drop("text").join(told, "rep", "left")
+    out = rows.drop("head", "text").join(told, "rep", "left")
     better = F.col("stays").isNotNull()
     return out.select(
         F.col("id").alias(id_col), F.when(better, F.col("stays.id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("all_n", "n").alias("group_size"), (F.col("uid") == F.when(better, F.col("stays.uid")).otherwise(F.col("keep"))).alias("kept"), F.col("digest").alias("text_sha256"), *(["carried"] if carry else [])
