@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions import filters as K
 from ..operators import signals as G
-from ..sources.tables import samples
+from ..sources import corpora as U
+from ..sources.tables import ordered_index, read, samples
 from .queries import _SAMPLES, query, rounded
 
 FS = 16.0
@@ -55,3 +58,54 @@ def _kernel() -> str:
 def resampled_samples(spark, d):
     """Each recording at three quarters of its rate."""
     return rounded(G.resampled(samples(spark, d), UP, DOWN, size=SIZE), "rec_id", "sample_idx")
+
+
+def _annotations(spark, d):
+    """``doc, text``: a user's errors as annotations of seizures, laid out in one of five ways; every third error begins another file."""
+    errors = samples(spark, d).where("channel = 'error'").select("rec_id", "sample_idx", F.floor(F.col("ms") / 1000).cast("bigint").alias("t"), F.floor("value").cast("bigint").alias("n"))
+    placed = ordered_index(errors.withColumnRenamed("sample_idx", "at"), "rec_id", F.lit(0), "at").withColumnRenamed("sample_idx", "i")
+    clock = lambda s, dot: F.concat_ws(dot, *[F.lpad(x.cast("bigint").cast("string"), 2, "0") for x in (F.floor(s % 86400 / 3600), F.floor(s % 3600 / 60), s % 60)])
+    way, new = F.col("rec_id") % 5, F.col("i") % 3 == 0
+    file, reg = F.concat(F.lit("File name: R"), F.floor(F.col("i") / 3).cast("string"), F.lit(".edf\n")), F.concat(F.lit("Registration start time: "), clock(F.col("t") - F.col("t") % 100, "."), F.lit("\n"))
+    head = F.concat(F.lit("Seizure n "), F.col("i").cast("string"), F.when(way == 1, ":").when(way == 2, " (in sleep):").otherwise(""), F.lit("\n"))
+    word = F.when(way == 3, "  ").otherwise("Seizure ")
+    block = F.concat(F.when(new & (way == 4) & (F.col("i") == 0), F.concat(file, reg, head)).when(new, F.concat(head, file, reg)).otherwise(head), word, F.lit("start time: "), clock(F.col("t"), ":"), F.lit("\n"), word, F.lit("end time: "), clock(F.col("t") + F.col("n") * 4, "."), F.lit("\n"))
+    return placed.groupBy(F.col("rec_id").alias("doc")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", block.alias("b")))), lambda x: x["b"]), "").alias("text"))
+
+
+@query(f"""WITH {_SAMPLES}, e AS (SELECT rec_id, ms // 1000 AS t, floor(value)::BIGINT AS n, row_number() OVER (PARTITION BY rec_id ORDER BY sample_idx) - 1 AS i FROM samples WHERE channel = 'error'),
+  f AS (SELECT *, first_value(t) OVER (PARTITION BY rec_id, i // 3 ORDER BY i) // 100 * 100 AS r FROM e), g AS (SELECT rec_id, i, i // 3 AS f, (t - r) % 86400 AS s, 4 * n AS n FROM f)
+  SELECT rec_id AS doc, concat('R', f, '.edf') AS file, row_number() OVER (PARTITION BY rec_id, f ORDER BY i)::INT AS k, s::DOUBLE AS start_s, (s + n)::DOUBLE AS end_s FROM g WHERE n <= 1200""")
+def annotation_spans(spark, d):
+    """Spans read from annotation texts of five layouts, which the events' errors are written as; their SQL takes them from the events."""
+    return U.annotated_spans(_annotations(spark, d))
+
+
+def _blocks(spark, d):
+    """The recordings as rows of an EDF source: ``path, channel, start, values``, twelve samples a row."""
+    s = samples(spark, d).select(F.col("rec_id").cast("string").alias("path"), "sample_idx", "value", (F.floor(F.col("sample_idx") / 12) * 12).alias("start"))
+    return s.groupBy("path", "start").agg(F.sort_array(F.collect_list(F.struct("sample_idx", "value"))).alias("s")).select("path", F.lit("all").alias("channel"), "start", F.transform("s", lambda x: x["value"]).alias("values"))
+
+
+@query(f"""WITH {_SAMPLES}, w AS (SELECT rec_id, sample_idx AS p FROM samples WHERE channel = 'error'), c AS (SELECT w.rec_id, p, list(value ORDER BY sample_idx) AS w FROM w JOIN samples s ON s.rec_id = w.rec_id AND sample_idx BETWEEN p AND p + 9 GROUP BY 1, 2 HAVING count(*) = 10),
+  m AS (SELECT *, list_avg(w) AS m, list_stddev_pop(w) AS sd, list_avg(list_transform(range(1, 10), lambda i: abs(w[i + 1] - w[i]))) AS steps FROM c)
+  SELECT rec_id::VARCHAR AS path, p AS start, round(sqrt(list_sum(list_transform(w, lambda x: ((x - m) / (sd * sqrt(10))) ** 2 * x * x)) / 10), 4) + 0.0 AS shape, round(ln(sd + 1e-6), 4) + 0.0 AS log_rms, round(ln(steps + 1e-6), 4) + 0.0 AS log_linelength FROM m WHERE sd >= 0.001 AND sd * sqrt(10) >= 1e-6""")
+def epochs_at_marks(spark, d):
+    """Ten samples from each error of a user on, cut out of rows of twelve: size, line length, and a sum that shows each normalised sample's place."""
+    windows = samples(spark, d).where("channel = 'error'").select(F.col("rec_id").cast("string").alias("path"), F.col("sample_idx").alias("at"))
+    blocks = _blocks(spark, d)
+    cut = U.epochs_of(blocks, windows, 10, 1).join(U.cut_windows(blocks, windows, 10).withColumnRenamed("w", "raw"), ["path", "at", "channel"])
+    shape = F.sqrt(F.aggregate(F.zip_with("w", "raw", lambda u, x: u * u * x * x), F.lit(0.0), lambda a, x: a + x) / 10)
+    return rounded(cut.select("path", F.col("at").alias("start"), shape.alias("shape"), "log_rms", "log_linelength"), "path", "start")
+
+
+@query("""WITH RECURSIVE u AS (SELECT source AS "case", lang AS path, count(*) AS c, md5(lang) AS h FROM documents GROUP BY 1, 2), want AS (SELECT source AS "case", count(*) // 2 AS want FROM documents GROUP BY 1),
+  r AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY h, path) AS k FROM u), f AS (SELECT *, count(*) OVER (PARTITION BY "case") AS n FROM r WHERE k <= 3),
+  s("case", path, k, quota, got) AS (SELECT "case", '', 0::BIGINT, 0::BIGINT, 0::BIGINT FROM want UNION ALL
+    SELECT f."case", f.path, f.k, least(greatest(ceil((want - got) / (n - s.k)), 0), c)::BIGINT, (got + least(greatest(ceil((want - got) / (n - s.k)), 0), c))::BIGINT FROM s JOIN f ON f."case" = s."case" AND f.k = s.k + 1 JOIN want ON want."case" = f."case")
+  SELECT "case", path, quota FROM s WHERE k > 0""")
+def spread_quotas(spark, d):
+    """Half of each source's documents, shared out over three of its languages; what one lacks the next give."""
+    docs = read(spark, d, "documents")
+    usable = docs.groupBy(F.col("source").alias("case"), F.col("lang").alias("path")).agg(F.count("*").alias("c"))
+    return U.shared_out(usable, docs.groupBy(F.col("source").alias("case")).agg(F.floor(F.count("*") / 2).alias("want")), 3)

@@ -2,63 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .edf import load_edf
+
 #: fixed values: channel columns of the headset's CSV export
 CSV_CHANNELS = ("TP9", "AF7", "AF8", "TP10")
 
 
-def edf_signals(raw: bytes):
-    """Signals of an EDF file in physical units: list of ``(label, rate, values)``.
-
-    Header fields are fixed-width text; samples are little-endian 16-bit integers,
-    record by record. Annotation signals, a last odd byte and a last partial
-    record are left out; an unknown number of records is taken from the size.
-    """
-    field = lambda a, b: raw[a:b].decode("latin-1").strip()
-    n_records, seconds, ns = int(field(236, 244) or -1), float(field(244, 252) or 1), int(field(252, 256) or 0)
-    at = 256
-
-    def column(width: int) -> list[str]:
-        nonlocal at
-        out = [field(at + i * width, at + (i + 1) * width) for i in range(ns)]
-        at += ns * width
-        return out
-
-    labels, _, _ = column(16), column(80), column(8)
-    low, high, dlow, dhigh = (np.array([float(x or 0) for x in column(8)]) for _ in range(4))
-    column(80)
-    size = np.array([int(x or 0) for x in column(8)])
-    body = np.frombuffer(raw[256 * (ns + 1) :][: (len(raw) - 256 * (ns + 1)) // 2 * 2], "<i2")
-    whole = len(body) // max(int(size.sum()), 1)
-    records = body[: min(whole, n_records if n_records > 0 else whole) * int(size.sum())].reshape(-1, max(int(size.sum()), 1))
-    gain = (high - low) / np.where(dhigh == dlow, 1, dhigh - dlow)
-    ends = np.cumsum(size)
-    return [(labels[i], size[i] / seconds, (records[:, ends[i] - size[i] : ends[i]].ravel() - dlow[i]) * gain[i] + low[i]) for i in range(ns) if labels[i] != "EDF Annotations"]
-
-
 def read_edf(spark: SparkSession, path: str) -> DataFrame:
-    """``path, channel, fs, chunk, values``: one row a channel and ten thousand samples, so that no row holds a long recording."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for label, rate, values in edf_signals(raw.as_buffer().to_pybytes()):
-                    for k, lo in enumerate(range(0, len(values), 10_000)):
-                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([label]), pa.array([float(rate)]), pa.array([k], pa.int64()), pa.array([values[lo : lo + 10_000].tolist()], pa.list_(pa.float64()))], ["path", "channel", "fs", "chunk", "values"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.edf").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(run, "path string, channel string, fs double, chunk bigint, values array<double>")
+    """``path, channel, fs, start, values`` of the EDF files that can be read; ``load_edf`` also names the others."""
+    return load_edf(spark, path).where("error is null").drop("error")
 
 
-def verified(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files (``path, content``) whose SHA-256 the manifest (``name, sha256``) confirms."""
-    return files.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(manifest, "name").where(F.sha2("content", 256) == F.lower("sha256"))
+def verified(digests: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files (``name, sha256`` and others) whose SHA-256 the manifest (``name, sha256``) confirms."""
+    known = manifest.select("name", F.lower("sha256").alias("sha256")).distinct()
+    return digests.join(known, ["name", "sha256"], "left_semi")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
