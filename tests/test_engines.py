@@ -4,21 +4,46 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from epochalis.functions.pursuit import Engine, atoms_of, chirplets
+from epochalis.functions.pursuit import Engine, atoms_of, captured, chirplets, tangents
 from epochalis.functions.reservoirs import EchoState, ridge, run_reservoir
 from epochalis.operators import epochs as E
 from epochalis.sources import recordings as R
 from epochalis.streaming.epochs import count_windows
 
 
-def test_pursuit_finds_planted_atoms(spark):
+def test_pursuit_finds_planted_atoms():
+    """Off the grid, in half a window's noise or none: within 0.1 Hz, with the sign of the sweep."""
     n, fs = 512, 256.0
-    for f, rate in ((6.0, 0.0), (10.0, 0.0), (20.0, 0.0), (12.0, 12.0), (15.0, -12.0)):
-        c, _ = chirplets(np.array([[1.0, f, 0.25, rate]]), n, fs)
-        p, _, kept, rest = Engine(n, fs, order=1, rounds=20).decompose(c)
-        assert kept[0, 0] and abs(p[0, 0, 1] + p[0, 0, 3] * (1.0 - p[0, 0, 0]) - f) < 0.6
-        assert np.linalg.norm(rest) < 0.4 * np.linalg.norm(c)
-        assert rate == 0 or np.sign(p[0, 0, 3]) == np.sign(rate)
+    rng = np.random.default_rng(4)
+    for f, rate, at, width in ((6.0, 0.0, 1.0, 0.25), (10.0, 0.0, 0.7, 0.2), (20.0, 0.0, 1.3, 0.1), (12.0, 12.0, 1.0, 0.25), (15.0, -12.0, 0.9, 0.3), (40.3, 5.0, 1.1, 0.4), (71.7, -30.0, 1.0, 0.15)):
+        c, s = chirplets(np.array([[at, f, width, rate]]), n, fs)
+        x = 0.6 * c - 0.8 * s
+        p, _, kept, rest = Engine(n, fs, order=1).decompose(np.concatenate((x, x + 0.1 * rng.standard_normal((1, n)))))
+        heard = p[:, 0, 1] + p[:, 0, 3] * (at - p[:, 0, 0])
+        assert kept.all() and np.abs(heard - f).max() < 0.1 and np.abs(p[:, 0, 2] / width - 1).max() < 0.1
+        assert np.linalg.norm(rest[0]) < 1e-3 * np.linalg.norm(x)
+        assert rate == 0 or (np.sign(p[:, 0, 3]) == np.sign(rate)).all()
+
+
+def test_an_atom_with_two_widths_needs_both():
+    n, fs = 512, 256.0
+    x = chirplets(np.array([[0.8, 17.3, 0.08, 4.0, 0.4]]), n, fs)[0]
+    both = Engine(n, fs, order=1, asymmetric=True, rounds=40).decompose(x)
+    assert np.allclose(both[0][0, 0], [0.8, 17.3, 0.08, 4.0, 0.4], atol=0.02) and np.linalg.norm(both[3]) < 1e-3 * np.linalg.norm(x)
+    assert np.linalg.norm(Engine(n, fs, order=1).decompose(x)[3]) > 0.1 * np.linalg.norm(x)
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((6, 128))
+    for size in (4, 5):
+        p = np.column_stack((rng.uniform(0.3, 0.7, 6), rng.uniform(8, 40, 6), rng.uniform(0.08, 0.3, 6), rng.uniform(-20, 20, 6), rng.uniform(0.08, 0.3, 6)))[:, :size]
+        _, slope, _ = tangents(x, p, 128, 128.0)
+        for axis in range(size):
+            h = np.zeros(size)
+            h[axis] = 1e-6
+            up, down = (p * np.exp(sign * h) if axis in (2, 4) else p + sign * h for sign in (1, -1))
+            assert np.allclose(slope[:, axis], (captured(x, up, 128.0) - captured(x, down, 128.0)) / 2e-6, rtol=1e-4, atol=1e-4)
 
 
 def test_pursuit_rows_are_independent_and_residual_falls(spark):
