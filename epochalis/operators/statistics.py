@@ -26,28 +26,69 @@ def accuracy(df: DataFrame, by: list[str], y: str, pred: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col(y) == F.col(pred)).cast("int")).alias("accuracy"))
 
 
-def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Rank statistic over distinct scores: counts by score first, so ties and hot scores are one row.
+def cumulated(df: DataFrame, value: str, *weights: str, parts: int = 256) -> DataFrame:
+    """Adds ``<weight>_below``: the sum of the weight over all rows of a smaller value (distinct values, none null).
 
-    Cumulative counts go over buckets of scores: a bucket's offset comes from the
-    totals of the buckets below, so no task sorts all scores.
+    Values are dealt to stretches between quantiles of their own, so that none holds
+    more than its share whatever their scale; a stretch's offset comes from the sums
+    of the few before it, and no task sorts all values.
     """
-    by = df.groupBy(score).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(y) == 0, 1).otherwise(0)).alias("q"))
-    by = by.withColumn("_b", F.floor(F.col(score) * 1024).cast("bigint"))
-    below = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by.groupBy("_b").agg(F.sum("q").alias("_q")).select("_b", F.coalesce(F.sum("_q").over(below), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy("_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by.withColumn("_c", F.coalesce(F.sum("q").over(inside), F.lit(0))).join(offsets, "_b")
-    wins = F.sum(F.col("p") * (F.col("_c") + F.col("_o") + F.col("q") / 2))
-    return ranked.agg(F.try_divide(wins, (F.sum("p") * F.sum("q")).cast("double")).alias("auc"))
+    cuts = df.agg(F.percentile_approx(value, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(100 * parts)).alias("_cuts"))
+    held = df.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter(F.coalesce("_cuts", F.array().cast(f"array<{df.schema[value].dataType.simpleString()}>")), lambda c: c < F.col(value)))).drop("_cuts")  # one row
+    below, inside = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    sums = held.groupBy("_b").agg(*[F.sum(w).alias(w) for w in weights]).select("_b", *[F.coalesce(F.sum(w).over(below), F.lit(0)).alias(f"_o_{w}") for w in weights])
+    out = held.join(F.broadcast(sums), "_b")  # a row a stretch
+    return out.select(*df.columns, *[(F.col(f"_o_{w}") + F.coalesce(F.sum(w).over(inside), F.lit(0))).alias(f"{w}_below") for w in weights])
+
+
+def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
+    """Rank statistic over distinct scores: counts by score first, so ties and hot scores are one row. Rows without a score don't count."""
+    by = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(y) == 0, 1).otherwise(0)).alias("q"))
+    wins = F.sum(F.col("p") * (F.col("q_below") + F.col("q") / 2))
+    return cumulated(by, score, "q").agg(F.try_divide(wins, (F.sum("p") * F.sum("q")).cast("double")).alias("auc"))
+
+
+def _signed_ranks(df: DataFrame, difference: Column) -> DataFrame:
+    """``a, n, p, r``: sizes of the differences that are not 0, how many there are and are above 0, and their mean rank."""
+    sizes = df.select(difference.cast("double").alias("d")).where("d <> 0 and not isnan(d)").groupBy(F.abs("d").alias("a")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("p"))
+    return cumulated(sizes, "a", "n").select("a", "n", "p", (F.col("n_below") + (F.col("n") + 1) / 2).alias("r"))
 
 
 def wilcoxon_w(df: DataFrame, difference: Column) -> DataFrame:
     """Signed-rank sums ``n, w_plus, w_minus`` of the differences that are not 0; equal sizes share their mean rank."""
-    sizes = df.select(difference.alias("d")).where("d <> 0").groupBy(F.abs("d").alias("a")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("p"))
-    below = Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = sizes.withColumn("r", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
-    return ranked.agg(F.sum("n").alias("n"), F.sum(F.col("p") * F.col("r")).alias("w_plus"), F.sum((F.col("n") - F.col("p")) * F.col("r")).alias("w_minus"))
+    return _signed_ranks(df, difference).agg(F.sum("n").alias("n"), F.sum(F.col("p") * F.col("r")).alias("w_plus"), F.sum((F.col("n") - F.col("p")) * F.col("r")).alias("w_minus"))
+
+
+def signed_rank_test(df: DataFrame, difference: Column, exact: int = 60) -> DataFrame:
+    """``n, w_plus, w_minus, p``: two-sided p value of the signed-rank test.
+
+    Up to ``exact`` differences, p comes from the number of signs that give each rank
+    sum, ties included, counted by a dynamic program over the ranks; beyond that from
+    the normal law with the variance of the ranks at hand, half a rank closer to its
+    mean. Without differences p is 1.
+    """
+    ranks = _signed_ranks(df, difference)
+    sums = ranks.agg(
+        F.sum("n").alias("n"), F.sum(F.col("p") * F.col("r")).alias("w_plus"), F.sum((F.col("n") - F.col("p")) * F.col("r")).alias("w_minus"), (F.sum(F.col("n") * F.col("r") * F.col("r")) / 4).alias("v"),
+        F.flatten(F.collect_list(F.when(F.col("n") <= exact, F.transform(F.sequence(F.lit(1), F.least("n", F.lit(exact)).cast("int")), lambda _: (2 * F.col("r")).cast("int"))))).alias("twice"),
+    )
+    # twice a rank is whole: a list of counts by twice the rank sum grows by one rank a step
+    ways = F.aggregate("twice", F.array(F.lit(1.0)), lambda acc, r: F.zip_with(F.concat(acc, F.array_repeat(F.lit(0.0), r)), F.concat(F.array_repeat(F.lit(0.0), r), acc), lambda a, b: a + b))
+    low = F.least("w_plus", "w_minus")
+    tail = F.aggregate(F.slice(ways, 1, (2 * low).cast("int") + 1), F.lit(0.0), lambda a, b: a + b) / F.pow(F.lit(2.0), F.col("n"))
+    z = F.greatest((F.col("w_plus") + F.col("w_minus")) / 2 - low - 0.5, F.lit(0.0)) / F.sqrt("v")
+    normal = 2 * upper_tail(z)
+    few = F.col("n") <= exact
+    p = F.when(F.coalesce("n", F.lit(0)) == 0, 1.0).when(few, F.least(2 * tail, F.lit(1.0))).otherwise(F.least(normal, F.lit(1.0)))
+    return sums.withColumn("twice", F.when(few, F.col("twice")).otherwise(F.array().cast("array<int>"))).select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), F.coalesce("w_minus", F.lit(0.0)).alias("w_minus"), p.alias("p"))
+
+
+def upper_tail(z: Column) -> Column:
+    """Share of the normal law above ``z`` >= 0: its series below 3 (60 terms), its continued fraction (40 steps) beyond."""
+    term = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(z.alias("t"), z.alias("s")), lambda a, k: F.struct((a["t"] * z * z / (2 * k + 1)).alias("t"), (a["s"] + a["t"] * z * z / (2 * k + 1)).alias("s")))["s"]
+    density = F.exp(-z * z / 2) / F.sqrt(2 * F.pi())
+    far = F.aggregate(F.sequence(F.lit(40), F.lit(1)), z, lambda a, k: z + k / a)
+    return F.when(z < 3, 0.5 - density * term).otherwise(density / far)
 
 
 def skill(df: DataFrame, pred: str, truth: str, last: str, mask: Column) -> Column:
