@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,3 +115,21 @@ def artifact_flag(f: Column, dur: Column, amp: Column, sigma: Column, rule: Colu
     low = (f <= rule["f_low"]) & (amp >= rule["k_low"] * sigma)
     short = (dur <= rule["dt_short"]) & (amp >= rule["k_short"] * sigma)
     return line | high | low | short
+
+
+#: pairs of thresholds that make up a rule, and values under which such a part meets nothing
+_PARTS = (("f_high", "k_high"), ("f_low", "k_low"), ("dt_short", "k_short"))
+_NEVER = {"f_high": float("inf"), "k_high": 1.0, "f_low": float("-inf"), "k_low": 1.0, "dt_short": float("-inf"), "k_short": 1.0}
+
+
+def rule_grid(axes: dict[str, list]) -> tuple[list[dict], list[tuple[int, dict]]]:
+    """The parts of all rules over ``axes``, and each rule with the bits of its three parts."""
+    parts = [{a: x, b: y} for a, b in _PARTS for x in axes[a] for y in axes[b]]
+    rules = [dict(zip(axes, values)) for values in itertools.product(*axes.values())]
+    return parts, [(sum(1 << i for i, p in enumerate(parts) if p.items() <= rule.items()), rule) for rule in rules]
+
+
+def parts_met(f: Column, dur: Column, amp: Column, sigma: Column, parts: list[dict]) -> Column:
+    """Bits of the parts under which an atom is an artifact; line hum is one under all."""
+    flag = lambda p: artifact_flag(f, dur, amp, sigma, F.struct(*[F.lit(float(v)).alias(n) for n, v in (_NEVER | p).items()]))
+    return sum((F.when(flag(p), 1 << i).otherwise(0) for i, p in enumerate(parts)), F.lit(0))

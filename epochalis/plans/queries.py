@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -296,14 +294,11 @@ def cross_features(spark, d):
 def artifact_rules(spark, d):
     """How many atoms each of the 144 rules flags: atoms are counted by which of the rules' parts they meet, and the few such sets are held against the rules."""
     axes = {"f_high": [30, 40], "k_high": [1, 2, 3], "f_low": [1, 2], "k_low": [1, 2, 3], "dt_short": [0.08, 0.12], "k_short": [1, 2]}
-    never = {"f_high": float("inf"), "k_high": 1.0, "f_low": float("-inf"), "k_low": 1.0, "dt_short": float("-inf"), "k_short": 1.0}
-    pairs = [p for a, b in (("f_high", "k_high"), ("f_low", "k_low"), ("dt_short", "k_short")) for p in [{a: x, b: y} for x in axes[a] for y in axes[b]]]
-    flag = lambda part: A.artifact_flag(F.col("f_hz"), F.col("dur_s"), F.sqrt("energy"), F.lit(0.1), F.struct(*[F.lit(float(v)).alias(n) for n, v in (never | part).items()]))
-    met = sum((F.when(flag(p), 1 << i).otherwise(0) for i, p in enumerate(pairs)), F.lit(0))
+    parts, grid = A.rule_grid(axes)
+    met = A.parts_met(F.col("f_hz"), F.col("dur_s"), F.sqrt("energy"), F.lit(0.1), parts)
     sets = atoms(spark, d).groupBy(met.alias("met")).agg(F.count("*").alias("n"))  # 65,536 at most
     names = list(axes)
-    mask = [[sum(1 << i for i, p in enumerate(pairs) if p.items() <= rule.items())] + [float(rule[n]) for n in names] for values in itertools.product(*axes.values()) for rule in [dict(zip(names, values))]]
-    rules = spark.createDataFrame(mask, "mask int, " + ", ".join(f"{n} double" for n in names))  # 144 rows
+    rules = spark.createDataFrame([(mask, *(float(rule[n]) for n in names)) for mask, rule in grid], "mask int, " + ", ".join(f"{n} double" for n in names))  # 144 rows
     return sets.crossJoin(F.broadcast(rules)).groupBy(*names).agg(F.sum(F.when(F.col("met").bitwiseAND(F.col("mask")) != 0, F.col("n")).otherwise(0)).alias("n_flagged"))
 
 

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import filters as K
+from ..functions.pursuit import atoms_of
+from ..operators import denoise as Z
+from ..operators import designs as N
+from ..operators import epochs as E
 from ..operators import signals as G
+from ..scratch import written
 from ..sources import corpora as U
 from ..sources.tables import ordered_index, read, samples
 from .queries import _SAMPLES, query, rounded
@@ -109,3 +114,46 @@ def spread_quotas(spark, d):
     docs = read(spark, d, "documents")
     usable = docs.groupBy(F.col("source").alias("case"), F.col("lang").alias("path")).agg(F.count("*").alias("c"))
     return U.shared_out(usable, docs.groupBy(F.col("source").alias("case")).agg(F.floor(F.count("*") / 2).alias("want")), 3)
+
+
+HORIZONS, HISTORY = [1, 3], 3
+
+
+def _steps(spark, d):
+    """Users as persons, twelve events as a file, an error as a step that isn't valid."""
+    return samples(spark, d).select(F.col("rec_id").alias("person"), F.col("sample_idx").alias("idx"), F.floor(F.col("sample_idx") / 12).cast("bigint").alias("file"), F.array(F.col("value") / 500).alias("z"), (F.col("channel") != "error").alias("valid"))
+
+
+@query(f"""WITH {_SAMPLES}, s AS (SELECT rec_id AS person, sample_idx AS idx, sample_idx // 12 AS file, value / 500 AS z, channel <> 'error' AS valid FROM samples),
+  r AS (SELECT s.person, s.z AS x, a.z - s.z AS y1, b.z - s.z AS y3, a.valid AS m1, b.valid AS m3, CASE WHEN s.idx < 30 THEN 'early' ELSE 'late' END AS part FROM s JOIN s a ON a.person = s.person AND a.idx = s.idx + 1 AND a.file = s.file JOIN s b ON b.person = s.person AND b.idx = s.idx + 3 AND b.file = s.file
+  JOIN s c ON c.person = s.person AND c.idx = s.idx - 2 AND c.file = s.file WHERE s.valid), t AS (SELECT person, part, 0 AS h, x, y1 AS y FROM r WHERE m1 UNION ALL SELECT person, part, 1, x, y3 FROM r WHERE m3),
+  p AS (SELECT person, part, h, unnest([{{'i': 0, 'j': 0, 'v': 1.0}}, {{'i': 0, 'j': 1, 'v': x}}, {{'i': 1, 'j': 0, 'v': x}}, {{'i': 1, 'j': 1, 'v': x * x}}, {{'i': 0, 'j': 2, 'v': y}}, {{'i': 1, 'j': 2, 'v': x * y}}, {{'i': 2, 'j': 2, 'v': y * y}}]) AS e FROM t)
+  SELECT person, part, h, e.i AS i, e.j AS j, round(sum(e.v), 6) + 0.0 AS v FROM p GROUP BY ALL""")
+def horizon_sums(spark, d):
+    """Sums of products of inputs and of what changes one and three steps on, by person and part."""
+    rows = N.horizon_rows(_steps(spark, d), HORIZONS, HISTORY).withColumn("part", F.when(F.col("idx") < 30, "early").otherwise("late"))
+    return rounded(N.masked_sums(rows), "person", "part", "h", "i", "j", digits=6)
+
+
+@query(None)
+def horizon_skill(spark, d):
+    """Skill one and three steps on, of each person's own readout and of everyone's, with penalties chosen on held-out files."""
+    rows = N.halves(N.horizon_rows(_steps(spark, d), HORIZONS, HISTORY), HORIZONS, HISTORY, val_share=0.3)
+    out = N.forecast_skills(rows, HORIZONS)
+    return out.select("person", "alpha", F.round("val_skill", 6).alias("val_skill"), F.round("skill", 6).alias("skill"), "pooled_alpha", F.round("pooled_skill", 6).alias("pooled_skill"))
+
+
+AXES = {"f_high": [4, 6], "k_high": [1, 2, 3], "f_low": [1, 2], "k_low": [1, 2, 3], "dt_short": [0.08, 0.12], "k_short": [1, 2]}
+
+
+@query(None)
+def denoise_rules(spark, d):
+    """Median gain of 144 rules on recordings with a burst of 6 Hz over every third stretch of eight samples."""
+    s = samples(spark, d)
+    burst = F.when(F.floor(F.col("sample_idx") / 8) % 3 == 0, 400 * F.cos(2 * F.pi() * 6 * F.col("sample_idx") / 16)).otherwise(0.0)
+    held = s.withColumn("artifact", burst).withColumn("value", F.col("value") + F.col("artifact"))
+    framed = E.frames(held, 16, 8).groupBy("rec_id", "frame").agg(F.transform(F.sort_array(F.collect_list(F.struct("offset", "value"))), lambda x: x["value"]).alias("w"))
+    found = written(atoms_of(framed, 16, 16.0, 3, True, ("rec_id", "frame")), "atoms")
+    waves = Z.set_waves(found, E.robust_sigma(held, "rec_id", "value"), AXES, 16, 8)
+    scores = Z.rule_scores(waves, held.select("rec_id", "sample_idx", F.col("artifact").alias("value")), AXES)
+    return Z.best_rule(scores, AXES).withColumn("gain_db", F.round("gain_db", 4))
