@@ -192,3 +192,56 @@ def resampled(samples: DataFrame, up: int, down: int, key: str = "rec_id", value
     kind = _kind(samples, key)
     done = rows.mapInArrow(run, f"{key} {kind}, start bigint, w array<double>")
     return done.select(key, "start", F.posexplode("w").alias("i", "value")).select(key, (F.col("start") + F.col("i")).alias("sample_idx"), "value")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of counters (the finaliser of a split-mix generator)."""
+    x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def projection_rows(seed: int, places: np.ndarray, dims: int) -> np.ndarray:
+    """Rows ``places`` of an endless matrix of independent normal numbers, each made from a hash of its place and the seed."""
+    with np.errstate(over="ignore"):
+        base = _mixed(np.uint64(seed) + np.zeros(1, np.uint64))
+        counter = places.astype(np.uint64)[:, None] * np.uint64(dims) + np.arange(dims, dtype=np.uint64)
+        h = _mixed(_mixed(counter) ^ base)
+        g = _mixed(h)
+    u, v = (h >> np.uint64(11)).astype(float) / 2**53, (g >> np.uint64(11)).astype(float) / 2**53
+    return np.sqrt(-2 * np.log1p(-u)) * np.cos(2 * np.pi * v)
+
+
+def projected(samples: DataFrame, width: int, dims: int, seed: int = 0, key: str = "rec_id", value: str = "value", block: int = 1024) -> DataFrame:
+    """``key, window, x``: windows of ``width`` samples, side by side, as ``dims`` random projections over the root of ``width``.
+
+    Distances between windows become distances between projections over the root of
+    ``width``, times the root of ``dims``, to within a few times ``1 / sqrt(dims)``.
+    A block of samples makes its rows of the matrix from their places, so that none is
+    sent anywhere; a window's blocks are added up. A window that isn't whole, or has a
+    null or non-finite sample, is left out.
+    """
+    x = F.col("value")
+    told = samples.select(key, F.floor(F.col("sample_idx") / width).cast("bigint").alias("window"), (F.col("sample_idx") % width).cast("bigint").alias("i"), F.col(value).cast("double").alias("value")).where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    rows = told.groupBy(key, "window", F.floor(F.col("i") / block).alias("b")).agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("s")).select(key, "window", F.transform("s", lambda r: r["i"]).alias("i"), F.transform("s", lambda r: r["value"]).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, np.ndarray] = {}  # the matrix's rows of one block, made once a task if a block comes again
+        for batch in batches:
+            out = []
+            for i, v in zip(batch.column(2), batch.column(3)):
+                at, values = np.asarray(i.values), np.asarray(v.values)
+                b = int(at[0]) // block
+                if b not in kept:
+                    if len(kept) > 16:
+                        kept.clear()
+                    kept[b] = projection_rows(seed, np.arange(b * block, min((b + 1) * block, width)), dims)
+                out.append(values @ kept[b][at - b * block] / np.sqrt(width))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).value_lengths().cast(pa.int64()), pa.array(out, pa.list_(pa.float64()))], [key, "window", "n", "x"])
+
+    parts = rows.mapInArrow(run, f"{key} {_kind(samples, key)}, window bigint, n bigint, x array<double>")
+    if width <= block:
+        return parts.where(F.col("n") == width).drop("n")
+    sums = parts.select(key, "window", "n", F.posexplode("x").alias("j", "v")).groupBy(key, "window", "j").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).where(F.col("n") == width)
+    return sums.groupBy(key, "window").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("s")).select(key, "window", F.transform("s", lambda r: r["v"]).alias("x"))

@@ -115,3 +115,22 @@ def test_a_slow_wave_survives_a_rate_change(spark):
     got = arrays(signals.resampled(frame, 64, 125, size=200), "value")["a"]
     at = np.arange(len(got)) / 256
     assert np.abs(got - np.sin(2 * np.pi * 7 * at))[60:-60].max() < 2e-3
+
+
+def test_projections_are_the_same_however_they_are_cut(spark):
+    made, frame = recordings(spark, [3000, 700], seed=6)
+    frame = frame.unionByName(spark.createDataFrame([("bad", i, None if i == 3 else 1.0) for i in range(600)], "rec_id string, sample_idx bigint, value double"))
+    matrix = signals.projection_rows(7, np.arange(600), 256)
+    assert abs(matrix.mean()) < 0.01 and abs(matrix.std() - 1) < 0.01 and np.abs(np.corrcoef(matrix.T) - np.eye(256)).max() < 0.25
+    assert np.array_equal(matrix[100:200], signals.projection_rows(7, np.arange(100, 200), 256)) and not np.allclose(matrix, signals.projection_rows(8, np.arange(600), 256))
+    runs = [{(r["rec_id"], r["window"]): np.array(r["x"]) for r in signals.projected(frame.repartition(parts), 600, 256, 7, block=block).collect()} for parts, block in ((1, 1024), (7, 100), (3, 64))]
+    assert runs[0].keys() == {*(("r0", k) for k in range(5)), ("r1", 0)}
+    for k, x in runs[0].items():
+        want = made[k[0]][k[1] * 600 : k[1] * 600 + 600] @ matrix / np.sqrt(600)
+        assert all(np.allclose(run[k], want, atol=1e-9) for run in runs) and len(x) == 256
+    keys = sorted(runs[0])
+    for a in keys:
+        for b in keys:
+            if a < b:
+                true = np.linalg.norm(made[a[0]][a[1] * 600 : a[1] * 600 + 600] - made[b[0]][b[1] * 600 : b[1] * 600 + 600])
+                assert abs(np.linalg.norm(runs[0][a] - runs[0][b]) * np.sqrt(600 / 256) / true - 1) < 4 / np.sqrt(256)
