@@ -50,12 +50,3 @@ def out_of_fold(rows: DataFrame, features: list[str], label: str, group: str, fo
         out = model.transform(held.where(F.col("fold") == fold))
         parts.append(out.select(*whole.columns, "fold", F.col("prediction").cast("int").alias("predicted"), F.get(vector_to_array("probability"), F.lit(1)).alias("probability")))
     return reduce(DataFrame.unionByName, parts)
-
-
-def score_configs(rows: DataFrame, features: list[str], label: str, group: str, configs: list[dict], folds: int = 3) -> DataFrame:
-    """``config, subject, score``: accuracy of each configuration on each group, out of fold."""
-    parts = []
-    for i, options in enumerate(configs):
-        done = out_of_fold(rows, features, label, group, folds, **options)
-        parts.append(done.groupBy(F.col(group).alias("subject")).agg(F.avg((F.col(label) == F.col("predicted")).cast("int")).alias("score")).withColumn("config", F.lit(i)))
-    return reduce(DataFrame.unionByName, parts).select("config", "subject", "score")

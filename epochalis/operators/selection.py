@@ -60,10 +60,11 @@ def resolved(names: DataFrame, files: DataFrame, case: str) -> DataFrame:
     return out.select(case, "name", F.coalesce("f1", "f2", "f3", "f4").alias("file"))
 
 
-def whole_montage(samples: DataFrame, key: str, n_channels: int) -> DataFrame:
-    """Recordings that have all channels."""
-    seen = samples.groupBy(key).agg(F.countDistinct("channel").alias("n")).where(F.col("n") == n_channels).select(key)
-    return samples.join(seen, key, "left_semi")
+def whole_montage(samples: DataFrame, key: str) -> DataFrame:
+    """Recordings that have all channels of the table."""
+    seen = samples.groupBy(key).agg(F.countDistinct("channel").alias("n"))
+    all_ = samples.agg(F.countDistinct("channel").alias("_all"))
+    return samples.join(seen.join(F.broadcast(all_), F.col("n") == F.col("_all")).select(key), key, "left_semi")  # one row
 
 
 def trimmed(samples: DataFrame, key: str, least: float) -> DataFrame:
@@ -83,12 +84,6 @@ def quota_sample(rows: DataFrame, key: str, name: str, share: float) -> DataFram
     return placed.join(quota, key).where("sample_idx < _quota").drop("_h", "_quota", "sample_idx")
 
 
-def config_sample(grid: DataFrame, n: int) -> DataFrame:
-    """``n`` different configurations (``layers, reupload, rate``) in the order of a hash; one layer never re-uploads."""
-    known = grid.withColumn("reupload", F.when(F.col("layers") == 1, 0).otherwise(F.col("reupload"))).distinct()
-    return known.withColumn("_h", F.md5(F.concat_ws("|", *known.columns))).orderBy("_h").limit(n).drop("_h")
-
-
 def best_config(scores: DataFrame, config: str, subject: str, score: str) -> DataFrame:
     """``config, n, score, best``: the median over subjects of their mean score; the smallest is the best, the first among equals."""
     by = scores.groupBy(config, subject).agg(F.avg(score).alias("s"))

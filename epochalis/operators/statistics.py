@@ -127,9 +127,37 @@ def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
     return held.select(*[z[c].alias(c) if c in z else F.col(c) for c in df.columns], F.lit(1.0).alias("bias"))
 
 
+def exact_percentiles(df: DataFrame, group: str, value: str, shares: list[float], parts: int = 256) -> DataFrame:
+    """``group, p0, p1, ...``: exact percentiles by linear interpolation, of the values that are not null.
+
+    Values are counted in stretches between quantiles of their group; the counts show
+    which few stretches hold the ranks sought, and only those are sorted, each by itself.
+    """
+    kept = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"))
+    cuts = kept.groupBy(F.col(group).alias("_g")).agg(F.percentile_approx("_v", F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(20 * parts)).alias("_cuts"), F.count("*").alias("_n"))
+    held = kept.join(cuts, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts", "_g")
+    counts = held.groupBy(F.col(group).alias("_g"), F.col("_b").alias("_k")).agg(F.count("*").alias("_c"), F.first("_n").alias("_m"))
+    below = Window.partitionBy("_g").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
+    counts = counts.withColumn("_o", F.coalesce(F.sum("_c").over(below), F.lit(0)))
+    at = lambda s: F.lit(float(s)) * (F.col("_m") - 1)
+    ranks = F.array(*[f(at(s)).cast("bigint") for s in shares for f in (F.floor, F.ceil)])
+    sought = counts.select("_g", "_k", "_o", "_m", F.filter(F.array_distinct(ranks), lambda r: (r >= F.col("_o")) & (r < F.col("_o") + F.col("_c"))).alias("_r")).where(F.size("_r") > 0)
+    rows = held.join(sought, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_k"))).groupBy(group, "_b", "_v").agg(F.count("*").alias("_c"), F.first("_o").alias("_o"), F.first("_r").alias("_r"), F.first("_m").alias("_m"))
+    inside = Window.partitionBy(group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_s", F.col("_o") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    hits = rows.select(group, "_m", "_v", F.explode(F.filter("_r", lambda r: (r >= F.col("_s")) & (r < F.col("_s") + F.col("_c")))).alias("_rank"))
+    table = hits.groupBy(group).agg(F.first("_m").alias("_m"), F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_t"))
+
+    def told(share: float):
+        low, high = (F.element_at("_t", f(at(share)).cast("bigint")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (at(share) - F.floor(at(share)))
+
+    return table.select(group, *[told(s).alias(f"p{k}") for k, s in enumerate(shares)])
+
+
 def percentile_bounds(df: DataFrame, group: str, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """``group, low, high``: exact percentiles, interpolated; counts of distinct values are merged."""
-    return df.groupBy(group).agg(F.percentile(value, F.lit(low)).alias("low"), F.percentile(value, F.lit(high)).alias("high"))
+    """``group, low, high``: exact percentiles, interpolated."""
+    return exact_percentiles(df, group, value, [low, high]).toDF(group, "low", "high")
 
 
 def forecast_metrics(df: DataFrame, group: str, pred: str, truth: str, last: str) -> DataFrame:

@@ -15,6 +15,7 @@ from ..operators import epochs as E
 from ..operators import intervals as I
 from ..operators import selection as C
 from ..operators import statistics as S
+from ..scratch import written
 from ..sources.recordings import clock_seconds, montage
 from ..sources.tables import atoms, ordered_index, read, samples
 
@@ -213,15 +214,6 @@ def chrono_split(spark, d):
 
 
 # dictionaries
-@query("""WITH g AS (SELECT tc, ld, r, f FROM range(0, 11) a(tc), range(0, 4) b(ld), range(0, 7) c(r), range(0, 128) h(f))
-  SELECT count(*) AS n_all, count(*) FILTER (WHERE f * 0.5 + (r - 3) * 6.0 * tc * 0.2 BETWEEN 0.5 AND 45) AS n_in_band FROM g""")
-def dict_grid_counts(spark, d):
-    """A dictionary grid, and how many of its atoms have their centre frequency in the band."""
-    g = D.grid(spark, tc=list(range(11)), ld=list(range(4)), r=list(range(7)), f=list(range(128)))
-    centre = F.col("f") * 0.5 + (F.col("r") - 3) * 6.0 * F.col("tc") * 0.2
-    return g.agg(F.count("*").alias("n_all"), F.count(F.when(centre.between(0.5, 45), 1)).alias("n_in_band"))
-
-
 _ATOM_AXES = {"tc": [0.25, 0.5, 0.75], "fc": [2.0, 5.0, 9.0, 14.0], "dt": [0.1, 0.3], "c": [0.0, 8.0]}
 
 
@@ -473,9 +465,7 @@ def recording_names(spark, d):
   SELECT s.rec_id, count(*) AS n_samples, max(sample_idx) AS last FROM samples s JOIN n ON n.rec_id = s.rec_id AND n.n = (SELECT count(DISTINCT event_type) FROM events) JOIN t ON t.rec_id = s.rec_id AND sample_idx <= last GROUP BY 1""")
 def whole_trimmed(spark, d):
     """Recordings that have every channel, without what follows their last large sample."""
-    s = samples(spark, d)
-    n = s.agg(F.countDistinct("channel")).first()[0]
-    return C.trimmed(C.whole_montage(s, "rec_id", n), "rec_id", 100.0).groupBy("rec_id").agg(F.count("*").alias("n_samples"), F.max("sample_idx").alias("last"))
+    return C.trimmed(C.whole_montage(samples(spark, d), "rec_id"), "rec_id", 100.0).groupBy("rec_id").agg(F.count("*").alias("n_samples"), F.max("sample_idx").alias("last"))
 
 
 @query("""SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE k <= ceil(n * 0.2)""")
@@ -484,12 +474,6 @@ def quota_sample(spark, d):
     return C.quota_sample(read(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 0.2).select("source", "doc_id")
 
 
-@query("""SELECT layers, reupload, rate FROM (SELECT DISTINCT l AS layers, CASE WHEN l = 1 THEN 0 ELSE u END AS reupload, r AS rate FROM (VALUES (1), (2), (3)) a(l), (VALUES (0), (1)) b(u), (VALUES (1), (3), (10)) c(r)) ORDER BY md5(concat_ws('|', layers, reupload, rate)) LIMIT 8""")
-def config_sample(spark, d):
-    grid = D.grid(spark, **_CONFIGS).select(*[F.col(c).cast("int").alias(c) for c in _CONFIGS])
-    return C.config_sample(grid, 8)
-
-
 @query("""WITH s AS (SELECT l_linenumber AS config, l_suppkey AS subject, avg(l_extendedprice) AS s FROM lineitem GROUP BY 1, 2), m AS (SELECT config, count(*) AS n, round(median(s), 6) AS score FROM s GROUP BY 1)
   SELECT config, n, score, config = (SELECT arg_min(config, (score, config)) FROM m) AS best FROM m""")
 def best_config(spark, d):
@@ -570,7 +554,7 @@ def logreg_out_of_fold(spark, d):
     rows = read(spark, d, "documents").join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id")
     text = F.coalesce("text", F.lit(""))
     x = rows.select("doc_id", "source", "quality", F.log1p(F.length(text)).alias("size"), (F.regexp_count(text, F.lit(r"\s+")) / (F.length(text) + 1)).alias("blanks"), (F.regexp_count(text, F.lit(r"[0-9]")) / (F.length(text) + 1)).alias("digits"), (F.regexp_count(text, F.lit(r"[.!?]")) / (F.length(text) + 1)).alias("stops"))
-    out = M.out_of_fold(x, ["size", "blanks", "digits", "stops"], "quality", "source", 4, n=3)
+    out = M.out_of_fold(written(x, "features"), ["size", "blanks", "digits", "stops"], "quality", "source", 4, n=3)
     return out.select("doc_id", "source", "fold", "predicted", F.round("probability", 6).alias("probability"))
 
 

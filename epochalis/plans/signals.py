@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import filters as K
 from ..functions.pursuit import atoms_of
+from ..operators import atoms as A
 from ..operators import denoise as Z
 from ..operators import designs as N
 from ..operators import epochs as E
@@ -13,6 +14,7 @@ from ..operators import signals as G
 from ..scratch import written
 from ..sources import corpora as U
 from ..sources.tables import ordered_index, read, samples
+from ..streaming import epochs as T
 from .queries import _SAMPLES, query, rounded
 
 FS = 16.0
@@ -157,3 +159,31 @@ def denoise_rules(spark, d):
     waves = Z.set_waves(found, E.robust_sigma(held, "rec_id", "value"), AXES, 16, 8)
     scores = Z.rule_scores(waves, held.select("rec_id", "sample_idx", F.col("artifact").alias("value")), AXES)
     return Z.best_rule(scores, AXES).withColumn("gain_db", F.round("gain_db", 4))
+
+
+@query(None)
+def projected_windows(spark, d):
+    """Windows of sixteen samples as eight random projections each, from blocks of six samples."""
+    out = G.projected(samples(spark, d), 16, 8, seed=1, block=6)
+    return out.select("rec_id", "window", F.transform("x", lambda v: F.round(v, 6) + 0.0).alias("x"))
+
+
+DAYS = 2 * 86_400_000
+
+
+@query(f"""WITH e AS (SELECT user_id AS rec_id, epoch_us(ts) // 1000 AS ms, value FROM events), w AS (SELECT rec_id, ms // {DAYS} * {DAYS} AS start_ms, count(*) AS n, (max(ms) - min(ms))::DOUBLE AS span_ms, avg(value) AS mean, stddev_pop(value) AS sd FROM e GROUP BY 1, 2),
+  g AS (SELECT *, (start_ms - lag(start_ms) OVER (PARTITION BY rec_id ORDER BY start_ms)) // {DAYS} - 1 AS gap FROM w)
+  SELECT rec_id, start_ms, 1::BIGINT AS windows, n, span_ms, round(mean, 7) + 0.0 AS mean, round(sd, 7) + 0.0 AS sd, CASE WHEN span_ms < 21600000 OR span_ms > 172800000 THEN 'packet_loss' END AS reason FROM g
+  UNION ALL SELECT rec_id, start_ms - gap * {DAYS}, gap::BIGINT, 0, NULL, NULL, NULL, 'missing' FROM g WHERE gap > 0""")
+def event_time_windows(spark, d):
+    """Windows of two days of each user: those whose events span less than six hours are marked, runs of windows without events are one row."""
+    rows = read(spark, d, "events").select(F.col("user_id").alias("rec_id"), "ts", "value")
+    return rounded(T.timed_windows_of(rows, DAYS, (21_600_000.0, 172_800_000.0)), "rec_id", "start_ms", "windows", "n", "span_ms", "reason", digits=7)
+
+
+@query("""SELECT vec_id, round(abs(embedding[1]::DOUBLE) * 64 / 64.0, 5) + 0.0 AS t_s, round(abs(embedding[2]::DOUBLE * 128) * 64 / 64.0, 5) + 0.0 AS f_hz, round(exp(embedding[3]::DOUBLE) / 64.0, 5) + 0.0 AS dur_s, round(2 * embedding[4]::DOUBLE * 64.0 * 64.0 / 64, 5) + 0.0 AS rate_hz_s FROM embeddings""")
+def raw_atoms(spark, d):
+    """The first four numbers of each vector as an atom in samples, in seconds and Hz."""
+    at = lambda k: F.element_at("embedding", k).cast("double")
+    raw = read(spark, d, "embeddings").select("vec_id", (F.abs(at(1)) * 64).alias("tc"), (at(2) * 128).alias("fc"), at(3).alias("log_dt"), at(4).alias("c"))
+    return rounded(A.to_physical(raw, 64.0, 64).select("vec_id", "t_s", "f_hz", "dur_s", "rate_hz_s"), "vec_id", digits=5)

@@ -134,3 +134,16 @@ def test_decisions(spark):
     assert V.decided(scores, "s", ["b"], ["x"]).first()["verdict"] == "behind"
     few = scores.where("s < 4")
     assert V.decided(few, "s", ["a"], ["x"]).first()["verdict"] == "ahead"
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(6)
+    groups = {"even": rng.normal(size=2000), "ties": rng.integers(0, 3, 500).astype(float), "one": np.array([4.0]), "tiny": rng.normal(size=7) * 1e-12, "wide": np.exp(rng.normal(size=900) * 20)}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [("even", None), ("none", None)], "g string, v double").repartition(5)
+    shares = [0.0, 0.01, 0.5, 0.75, 0.99, 1.0]
+    for parts in (256, 4):
+        got = {r["g"]: [r[f"p{k}"] for k in range(6)] for r in S.exact_percentiles(df, "g", "v", shares, parts).collect()}
+        assert got.keys() == groups.keys()
+        for g, x in groups.items():
+            assert np.allclose(got[g], np.quantile(x, shares), rtol=1e-12, atol=0)
+    assert S.exact_percentiles(df.limit(0), "g", "v", shares).count() == 0
