@@ -21,20 +21,30 @@ from pyspark.sql import functions as F
 from .common import free_names, materialise, read_table
 
 _NAME = r"(?=[abcpstABCPST])(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?|bearer)"
-_ASSIGN = _NAME + r"[A-Za-z0-9_.-]{0,24}[\"']?\s{0,2}(?:=>|:=|[:=])\s{0,2}[\"']?"
+_SIGN = r"[\"']?\s{0,2}(?:=>|:=|[:=])\s{0,2}[\"']?"
+#: a whole variable name with a key word in it, of any length; that a sign and a value follow is seen first, so that a long name costs one pass
+_ASSIGN = r"(?=[A-Za-z0-9_.-]++" + _SIGN + r"[^\s\"'`,;<>|]{4})[A-Za-z0-9_.-]*?" + _NAME + r"[A-Za-z0-9_.-]*+" + _SIGN
 _VALUE = r"[^\s\"'`,;<>|]{4,}+"
+#: scheme, user and colon before the password of an address
+_ADDRESS = r"[A-Za-z][A-Za-z0-9+.-]{1,30}://[^\s/:@\"'`<>]{0,256}+:"
 #: kind -> pattern, tried in this order; none has a longest length, and classes are possessive, so that a long value costs one pass
 KINDS = {
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s:,._]++(?:-[A-Za-z0-9+/=\s:,._]++)*+-----END [A-Z ]{0,20}PRIVATE KEY-----",
     "aws_key_id": r"A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "prefixed_token": r"(?=[gxsrA])(?:gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+|AIza[0-9A-Za-z_-]{35})",
+    "prefixed_token": r"(?=[gxsrAn])(?:gh[pousr]_[A-Za-z0-9]{30,}+|npm_[A-Za-z0-9]{30,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+|AIza[0-9A-Za-z_-]{35})",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
+    "address": _ADDRESS + r"[^\s/@\"'`<>]{3,}+(?=@)",
     "assigned": _ASSIGN + _VALUE,
-    "generic": r"(?=[A-Za-z0-9+/_=-]{16})(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+",
+    # no run that is, or ends in, the name of an assignment
+    "generic": r"(?=[A-Za-z0-9+/_-]{16})(?=[A-Za-z+/_-]*+[0-9])(?!(?=[A-Za-z0-9+/_.-]*?" + _NAME + r")[A-Za-z0-9+/_.-]++" + _SIGN + r"[^\s\"'`,;<>|]{4})[A-Za-z0-9+/_-]{16,}+={0,2}+",
 }
-#: names and PEM headers may follow a letter; a generic run is tried at its first character or where the last candidate ended
-_BEFORE = {"private_key": "", "assigned": "", "generic": r"(?:(?<![A-Za-z0-9+/_=-])|\G)"}
+#: what stands before the value in a candidate of a kind
+_HEADS = {"assigned": _ASSIGN, "address": _ADDRESS}
+#: PEM headers may follow a letter, names and generic runs are tried where their characters begin, a run also where the last candidate ended
+_BEFORE = {"private_key": "", "assigned": r"(?<![A-Za-z0-9_.-])", "generic": r"(?:(?<![A-Za-z0-9+/_-])|\G)"}
 CANDIDATE = "(?:" + "|".join(_BEFORE.get(k, "(?<![A-Za-z0-9])") + p for k, p in KINDS.items()) + ")"
+#: a candidate of a kind, by itself; what must follow an address isn't part of it
+_WHOLE = {k: "^(?:" + p.removesuffix("(?=@)") + ")$" for k, p in KINDS.items()}
 #: words of ordinary identifiers and prose, for dictionary coverage
 DICTIONARY = "about access account after alpha application archive array author backup before beta branch build button cache change check class client cloud code column config content count country create data date default delete demo detail device document download dummy email enable error event example field file filter first folder format function global group header hello hidden image import index input insert item label last layout length level library license light limit link list local login main message method model module month name network null number object option order output package page param password path pattern placeholder please point private process product profile project public query random record release remove report request required response result return root sample schema screen script search secret select server service session setting should simple source start state static status string style submit sample switch system table target task temp test text theme there this time title token total type undefined update upload user value version video view visible warning week when window with word world write year your".split()
 _SECRET_WORDS = r"(?i)(?:key|token|secret|passw|pwd|credential|auth|login|bearer)"
@@ -62,6 +72,7 @@ def numbers(value: Column, left: Column, right: Column, kind: Column) -> list[tu
         ("coverage", 1 - F.length(F.regexp_replace(F.lower(value), words, "")) / n),
         ("hex", flag(value, "^[0-9a-fA-F]+$")),
         ("digits", flag(value, "^[0-9_-]+$")),
+        ("digest", flag(value, "^(?:sha[0-9]+|md5)[-_=]")),
         ("uuid", flag(value, "^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")),
         ("slashes", count(value, "/") / n),
         ("dots", count(value, r"[._-]") / n),
@@ -83,7 +94,7 @@ def with_candidates(docs: DataFrame, text_col: str, cands: str = "_cands", gaps:
 
 def described(found: Column, gaps: Column) -> Column:
     """Array of structs: kind, start (characters before it), value and the forest's numbers."""
-    kind_of = lambda c: reduce(lambda rest, k: F.when(c.rlike(f"^(?:{KINDS[k]})$"), k).otherwise(rest), reversed(list(KINDS)), F.lit("generic"))
+    kind_of = lambda c: reduce(lambda rest, k: F.when(c.rlike(_WHOLE[k]), k).otherwise(rest), reversed(list(KINDS)), F.lit("generic"))
     sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, c: F.struct(F.length(g).alias("g"), F.length(c).alias("c")))
     after = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s["g"] + s["c"])))
     at = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
@@ -91,8 +102,8 @@ def described(found: Column, gaps: Column) -> Column:
     def basic(i: Column) -> Column:
         c = F.get(found, i)
         kind = kind_of(c)
-        value = F.when(kind == "assigned", F.regexp_replace(c, "^" + _ASSIGN, "")).otherwise(c)
-        own = F.when(kind == "assigned", F.regexp_extract(c, "^(" + _ASSIGN + ")", 1)).otherwise("")
+        own = reduce(lambda rest, k: F.when(kind == k, F.regexp_extract(c, "^(" + _HEADS[k] + ")", 1)).otherwise(rest), _HEADS, F.lit(""))
+        value = F.right(c, F.length(c) - F.length(own))
         blanks = lambda c: F.translate(c, "\n\r\t", "   ")
         left = F.concat(F.substring_index(blanks(F.get(gaps, i)), " ", -LEFT), own)
         right = F.substring_index(blanks(F.get(gaps, i + 1)), " ", RIGHT)
@@ -117,17 +128,20 @@ def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = 17) -> Dat
     equals = pick(2, ["=", " = ", ": ", ":", " := ", '="', ' = "', "='"])
     dull = pick(3, ["commit", "sha1", "checksum", "revision", "md5", "hash"])
     named = lambda value: F.concat(name, equals, value)
+    address = F.concat(pick(52, ["postgres", "mysql", "amqp", "https", "redis"]), F.lit("://"), pick(53, ["admin", "root", "service", "reader"]), F.lit(":"))
     good = [
         named(F.substring(h(4), 1, 18)), named(F.substring(h(4), 1, 40)), named(F.substring(h(4), 1, 32)), named(F.substring(b64(5), 1, 20)),
         named(b64(6)), named(F.concat(word(7), F.substring(digits(8), 1, 3), F.lit("!"), F.substring(b64(8), 1, 5))), F.concat(F.lit("AKIA"), F.upper(F.substring(F.translate(b64(9), "abcdefgh", "QRSTUVWZ"), 1, 16))),
         F.concat(F.lit("ghp_"), F.substring(b64(10), 1, 36)), F.concat(F.lit("sk_live_"), F.substring(b64(11), 1, 24)), F.concat_ws(" ", F.lit("the key is"), b64(12)), F.concat_ws(" ", F.lit("token"), F.substring(h(13), 1, 40)),
         F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), b64(14), b64(15), F.lit("\n-----END RSA PRIVATE KEY-----")), F.concat(F.lit("eyJ"), F.substring(b64(16), 1, 20), F.lit(".eyJ"), b64(17), F.lit("."), b64(18)),
+        F.concat(address, F.substring(b64(19), 1, 14), F.lit("@db.local/main")), F.concat(address, word(20), F.substring(digits(21), 1, 4), F.lit("@10.0.0.7:5432")), F.concat(F.lit("npm_"), F.substring(b64(22), 1, 36)), F.concat(F.lit("export DB_"), F.upper(name), F.lit("="), F.substring(b64(23), 1, 9), F.lit("&"), F.substring(b64(24), 1, 6)),
     ]
     bad = [
         F.substring(digits(4), 1, 16), F.concat_ws("-", F.substring(digits(5), 1, 4), F.substring(digits(6), 1, 4), F.substring(digits(7), 1, 4), F.substring(digits(8), 1, 4)), F.concat_ws(" ", dull, F.substring(h(9), 1, 40)), F.concat(dull, equals, F.substring(h(9), 1, 32)),
         F.concat_ws("-", F.substring(h(10), 1, 8), F.substring(h(11), 1, 4), F.substring(h(12), 1, 4), F.substring(h(13), 1, 4), F.substring(h(14), 1, 12)), F.concat_ws("_", word(15), word(16), word(17), F.substring(digits(18), 1, 3)), F.concat_ws("/", F.lit("/usr"), word(19), word(20), F.substring(digits(21), 1, 4), word(22)),
         named(pick(23, ["changeme", "your_token_here", "xxxxxxxxxxxx", "${PASSWORD}", "example", "None", "null", "required", "undefined", "true", "os.environ", "********"])), named(word(24)), named(F.concat(word(25), F.lit("."), word(26))), F.concat_ws("-", F.lit("version"), F.substring(digits(27), 1, 2), word(28), F.substring(digits(29), 1, 8)),
-        F.concat(F.lit("https://"), word(30), F.lit(".example/"), word(31), F.lit("/"), F.substring(digits(32), 1, 12), word(33)), F.concat(F.lit("data:image/png;base64 "), b64(34), b64(35), b64(36)), F.concat_ws("=", word(37), F.substring(digits(38), 1, 14)),
+        F.concat(F.lit("https://"), word(30), F.lit(".example/"), word(31), F.lit("/"), F.substring(digits(32), 1, 12), word(33)), F.concat(F.lit("data:image/png;base64 "), b64(34), b64(35), b64(36)), F.concat_ws("=", word(37), F.substring(digits(38), 1, 16)),
+        F.concat(address, pick(39, ["password", "changeme", "${DB_PASSWORD}", "secret", "xxxx", "example"]), F.lit("@db.local/main")), F.concat(pick(40, ["sha256-", "sha384-", "sha512-"]), b64(41)), F.concat(pick(42, ["integrity=", "integrity: "]), pick(43, ["sha256-", "sha384-", "sha512-"]), b64(44)),
     ]
     rows = spark.range(0, n, 1, 4)
     case = lambda k, options: reduce(lambda rest, i: F.when(some(k, 0, len(options)) == i, options[i]).otherwise(rest), range(len(options)), options[0])
