@@ -187,3 +187,12 @@ def raw_atoms(spark, d):
     at = lambda k: F.element_at("embedding", k).cast("double")
     raw = read(spark, d, "embeddings").select("vec_id", (F.abs(at(1)) * 64).alias("tc"), (at(2) * 128).alias("fc"), at(3).alias("log_dt"), at(4).alias("c"))
     return rounded(A.to_physical(raw, 64.0, 64).select("vec_id", "t_s", "f_hz", "dur_s", "rate_hz_s"), "vec_id", digits=5)
+
+
+@query(None)
+def pursuit_512(spark, d):
+    """Six atoms, each with its own width right of the centre, of every window of 512 quantities of a supplier, taken as two seconds."""
+    lines = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("rec_id"), "l_orderkey", "l_linenumber", F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("ms"), F.col("l_quantity").alias("value"))
+    windows = E.epoch_table(ordered_index(lines, "rec_id", F.floor(F.col("l_orderkey") / 4096), "l_orderkey", "l_linenumber"), 512)
+    signals = windows.select("rec_id", "epoch", E.normalised(F.col("w")).alias("w"))
+    return rounded(atoms_of(signals, 512, 256.0, keys=("rec_id", "epoch"), asymmetric=True), "rec_id", "epoch", "atom_idx", digits=5)
