@@ -22,14 +22,24 @@ def mean_of(w: Column) -> Column:
     return F.aggregate(w, F.lit(0.0), lambda a, x: a + x) / F.size(w)
 
 
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value worked out once a row, not once for each element that a lambda in ``f`` sees."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def squares_of(w: Column) -> Column:
+    """Sum of squared distances from the mean."""
+    return bound(mean_of(w), lambda m: F.aggregate(w, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))
+
+
 def gate_reason(w: Column, span_ms: Column, span=SPAN_MS, rails=RAILS, rail_share=RAIL_SHARE, max_abs_z=MAX_ABS_Z, check_rails: bool = True) -> Column:
     """First failing test of a window, null if it passes: nonfinite, packet_loss, adc_rail, near_constant, artifact."""
     n = F.size(w)
     bad = F.exists(w, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     mean = mean_of(w)
-    sd = F.sqrt(F.aggregate(w, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
+    sd = F.sqrt(squares_of(w) / n)
     railed = F.size(F.filter(w, lambda x: (x <= rails[0]) | (x >= rails[1]))) / n
-    peak = F.aggregate(w, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x - mean)))
+    peak = bound(mean, lambda m: F.aggregate(w, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x - m))))
     out = F.when(bad, "nonfinite").when((span_ms < span[0]) | (span_ms > span[1]), "packet_loss")
     if check_rails:
         out = out.when(railed >= rail_share, "adc_rail")
@@ -49,16 +59,13 @@ def montage_gate(reasons: DataFrame, require_all: bool = True) -> DataFrame:
 
 def normalised(w: Column) -> Column:
     """Mean removed, unit length; null where the length is under 1e-6."""
-    mean = mean_of(w)
-    centred = F.transform(w, lambda x: x - mean)
-    norm = F.sqrt(F.aggregate(w, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)))
-    return F.when(norm >= 1e-6, F.transform(centred, lambda x: x / norm))
+    scaled = lambda m, norm: F.when(norm >= 1e-6, F.transform(w, lambda x: (x - m) / norm))
+    return bound(mean_of(w), lambda m: bound(F.sqrt(squares_of(w)), lambda norm: scaled(m, norm)))
 
 
 def amplitude_features(epochs: DataFrame) -> DataFrame:
     """``log_rms`` (population deviation) and ``log_linelength`` of each epoch's raw values."""
-    mean = mean_of(F.col("w"))
-    sd = F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size("w"))
+    sd = F.sqrt(squares_of(F.col("w")) / F.size("w"))
     steps = F.zip_with(F.slice("w", 2, F.size("w") - 1), F.slice("w", 1, F.size("w") - 1), lambda b, a: F.abs(b - a))
     return epochs.select(*EPOCH, F.log(sd + 1e-6).alias("log_rms"), F.log(mean_of(steps) + 1e-6).alias("log_linelength"))
 

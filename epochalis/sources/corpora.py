@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import ratio
-from ..operators.epochs import mean_of, normalised
+from ..operators.epochs import mean_of, normalised, squares_of
 from ..operators.selection import of_quality, resolved, subject_of, unmarked
 from ..operators.signals import resampled
 from ..scratch import written
@@ -167,8 +167,7 @@ def epochs_of(rows: DataFrame, windows: DataFrame, width: int, n_channels: int)
     """
     raw = cut_windows(rows, windows, width)
     w = F.col("w")
-    mean = mean_of(w)
-    sd = F.sqrt(F.aggregate(w, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(w))
+    sd = F.sqrt(squares_of(w) / F.size(w))
     steps = mean_of(F.zip_with(F.slice(w, 2, width - 1), F.slice(w, 1, width - 1), lambda b, a: F.abs(b - a)))
     bad = F.exists(w, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     told = raw.withColumns({"sd": sd, "steps": steps, "unit": normalised(w)})
