@@ -340,33 +340,106 @@ def test_lm_scores(spark, monkeypatch):
     assert lm.score_texts(docs_of(spark, [])).count() == 0
 
 
-def continuations_of(rng):
-    opens = np.arange(lm.VOCABULARY) % 3 == 0
-    opens[lm.END] = True
-    keys = np.unique((rng.integers(0, 60, 500) << 16) | rng.integers(0, 60, 500))
-    keys = keys[~opens[keys & 0xFFFF]]
-    keys = np.sort(np.concatenate((keys, (np.arange(60) << 16) | lm.NEW)))
-    return lm.Continuations(rng.integers(0, 5, lm.VOCABULARY).astype(float), keys, rng.integers(1, 9, len(keys)).astype(float), opens)
-
-
-def test_continuations_are_a_distribution():
-    after = continuations_of(np.random.default_rng(12))
-    every = np.arange(lm.VOCABULARY)
-    for x in (0, 7, 59, 3000, lm.END):
-        assert abs(after.prob(np.full(lm.VOCABULARY, x), every).sum(dtype=float) - 1) < 1e-3
+def test_lm_scores_do_not_depend_on_splits(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD_WORDS", 20)
+    monkeypatch.setattr(lm, "REPLICA_WORDS", 3000)
+    docs = docs_of(spark, TEXTS + ["says <|endoftext|> and a<|endoftext|>b \u3000x\u00a0 <|im_end|>"])
+    one = {r["doc_id"]: r["score"] for r in lm.score_texts(docs.coalesce(1)).collect()}
+    other = {r["doc_id"]: r["score"] for r in lm.score_texts(docs.repartition(5)).collect()}
+    assert one.keys() == other.keys() and all(abs(one[i] - other[i]) < 1e-4 * abs(one[i]) for i in one)
+
+
+def test_lm_beats_the_word_counts_it_saw(spark, data):
+    got = lm.op10_lm_scoring(spark, data).where("not held_out").selectExpr("sum(score)", "sum(base_score)").first()
+    assert got[0] > got[1]
+
+
+WORDS = [b"the", b"then", b"of", b"re-enter", b"na\xc3\xafve", b"offering", b"x" * 40, b"the"]
+
+
+def statistics_of(words, count, discount=0.5):
+    """Statistics of distinct words that occur ``count`` times each, by loops."""
+    encode, opens = lm.public_encoder(), lm.opening_ids()
+    ids = [lm.word_ids(w, encode) for w in words]
+    unigrams, begins, kinds = np.zeros((3, lm.VOCABULARY))
+    two, three = np.zeros((1 << lm.PLACES_2, lm.LETTERS)), np.zeros((1 << lm.PLACES_3, lm.LETTERS))
+    for one in ids:
+        assert opens[one].tolist() == [True] + [False] * (len(one) - 1)
+        unigrams[one[0]] += count
+        np.add.at(unigrams, one[1:], 1)
+        begins[one[0]] += count
+        kinds[one[0]] += 1
+        byte, a, b, _, _ = lm.letters(one, opens[one])
+        for x, i, j in zip(byte, a, b):
+            two[i, x] += 1
+            three[j, x] += 1
+    return lm.WordStatistics(unigrams, begins, kinds, opens, discount, lm.Spelling(two, three)), ids
+
+
+def test_word_statistics_equal_loops(spark):
+    words = sorted(set(WORDS))
+    expected, _ = statistics_of(words, 3)
+    got = lm.word_statistics(spark.createDataFrame([(bytearray(w), 3) for w in words], "word binary, c bigint").repartition(3), 0)
+    for name in ("base", "begins", "left"):
+        assert np.allclose(getattr(got, name), getattr(expected, name))
+    for name in ("two", "three", "left"):
+        assert np.allclose(getattr(got.spelling, name), getattr(expected.spelling, name))
+
+
+def test_words_and_letters_are_distributions():
+    stats, ids = statistics_of(sorted(set(WORDS)), 3)
+    sp = stats.spelling
+    assert np.allclose(sp.two.sum(1), 1, atol=1e-4) and np.allclose(sp.three.sum(1) + sp.left, 1, atol=1e-4)
+    # words that begin alike, and what is left for spelling, are all there is
+    for head in {int(i[0]) for i in ids}:
+        own = sum((3 - stats.discount) / stats.begins[head] for i in ids if i[0] == head)
+        assert abs(own + stats.left[head] - 1) < 1e-9
+    # letters of a word don't depend on the words before it
+    flat = np.concatenate(ids)
+    together = sp.log_rest(flat, stats.opens[flat])
+    assert np.allclose(together, [sp.log_rest(i, stats.opens[i])[0] for i in ids])
+
+
+def test_scores_equal_a_plain_pass():
+    """One window after another, one id after another, one word after another."""
+    stats, _ = statistics_of(sorted(set(WORDS)), 3)
+    m, encode = lm.Attention(stats), lm.public_encoder()
+    texts = [[], WORDS, WORDS * 9, [b"unseen", b"words", b"of"], [b"x" * 300]]
+    known = {w: 3 for w in WORDS}
+    held = [np.concatenate(([lm.END], *[lm.word_ids(w, encode) for w in t], [lm.END])).astype(np.int32) for t in texts]
+    got = m.score(held, np.array([known.get(w, 0) for t in texts for w in t], float))
+    for ids, text, score in zip(held, texts, got):
+        n, expected, words, spelled = len(ids) - 1, 0.0, iter(text), None
+        for t in range(n):
+            start = next(s for s, skip in zip(*lm.cover(n)) if s + skip <= t < s + lm.WINDOW)
+            gate = m.forward(ids[None, start : start + lm.WINDOW] if start + lm.WINDOW <= n else np.append(ids[start:n], [lm.END] * (start + lm.WINDOW - n))[None])[-1][0, t - start]
+            one, opened, y = float(gate @ m.table[ids[t + 1]]), float(gate @ m.table[stats.opens].sum(0)), ids[t + 1]
+            if stats.opens[y]:
+                expected += math.log(one / opened)
+                if spelled is not None:
+                    w = next(words)
+                    own = lm.word_ids(w, encode)
+                    letters = math.exp(stats.spelling.log_rest(own, stats.opens[own])[0])
+                    c = known.get(w, 0)
+                    expected += math.log(max(c - stats.discount, 0) / max(stats.begins[own[0]], 1) + stats.left[own[0]] * (spelled * opened + letters) / 2)
+                spelled = 1.0 if y != lm.END else None
+            else:
+                spelled *= one
+        assert abs(score - expected / math.log(10)) < 1e-3 * max(1, abs(score))
 
 
 def test_attention_is_causal_and_scores_once():
     rng = np.random.default_rng(10)
-    m = lm.Attention(continuations_of(rng))
+    m = lm.Attention(statistics_of(sorted(set(WORDS)), 3)[0])
     m.query = m.p["q"] * np.float32(lm.WIDTH**-0.5)
     x, y = rng.integers(0, 500, (2, lm.WINDOW)), rng.integers(0, 500, (2, lm.WINDOW))
-    one = m.log_probs(x, y).copy()
+    one, opened = m.log_probs(x, y)
     x2 = x.copy()
     x2[:, 20:] = 7
-    assert np.allclose(one[:, :20], m.log_probs(x2, y)[:, :20], atol=1e-5)
-    parts = np.concatenate((m.table[y], m.after.prob(x.ravel(), y.ravel()).reshape(*y.shape, 1)), 2)
-    assert np.allclose(one, np.log(np.einsum("bwk,bwk->bw", m.forward(x)[-1], parts)), atol=1e-4)
+    assert np.allclose(one[:, :20], m.log_probs(x2, y)[0][:, :20], atol=1e-5)
+    gate = m.forward(x)[-1]
+    assert np.allclose(one, np.log(np.einsum("bwk,bwk->bw", gate, m.table[y])), atol=1e-4)
+    assert np.allclose(opened, np.log(gate @ m.opening), atol=1e-4)
     assert np.allclose(m.table.sum(0), 1, atol=1e-3)
     for n in (1, 2, 5, lm.WINDOW, lm.WINDOW + 1, 100, 333):
         starts, skip = lm.cover(n)
@@ -374,10 +447,15 @@ def test_attention_is_causal_and_scores_once():
         assert seen.tolist() == list(range(n))
 
 
-def test_training_lowers_the_loss():
+def test_training_raises_the_score():
     rng = np.random.default_rng(11)
-    w = np.cumsum(rng.integers(1, 3, (200, lm.WINDOW + 1)), axis=1) % 60
-    m = lm.Attention(continuations_of(rng))
-    before = m.score([np.append(r, lm.END).astype(np.int32) for r in w[:20]]).sum()
-    m.train(w.astype(np.int32), steps=120)
-    assert m.score([np.append(r, lm.END).astype(np.int32) for r in w[:20]]).sum() > before
+    stats, ids = statistics_of(sorted(set(WORDS)), 3)
+    texts = []
+    for _ in range(60):  # each word follows its neighbour in the list
+        at = rng.integers(0, len(ids))
+        texts.append(np.concatenate(([lm.END], *[ids[(at + i) % len(ids)] for i in range(30)], [lm.END])).astype(np.int32))
+    counts = np.full(30, 3.0)
+    m = lm.Attention(stats)
+    before = m.score(texts[:20], np.tile(counts, 20)).sum()
+    m.train(np.concatenate([lm.windows_of(t, counts, stats.opens, np.arange(0, len(t) - 1, lm.WINDOW)) for t in texts]), steps=120)
+    assert m.score(texts[:20], np.tile(counts, 20)).sum() > before + 100
