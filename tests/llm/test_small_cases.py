@@ -386,6 +386,12 @@ def test_word_statistics_equal_loops(spark):
         assert np.allclose(getattr(got.spelling, name), getattr(expected.spelling, name))
 
 
+def test_many_words_at_once_have_the_ids_of_each():
+    encode, opens = lm.public_encoder(), lm.opening_ids()
+    for words in (WORDS, ["\u3000".encode()] * 2 + [b"a"], [b"a<|endoftext|>b", b"'s", "x\u00a0".encode(), "\u3000y".encode(), b"\xff"]):
+        assert [i.tolist() for i in lm.all_word_ids(words, encode, opens)] == [lm.word_ids(w, encode).tolist() for w in words]
+
+
 def test_words_and_letters_are_distributions():
     stats, ids = statistics_of(sorted(set(WORDS)), 3)
     sp = stats.spelling
