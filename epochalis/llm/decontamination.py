@@ -3,8 +3,9 @@
 Every window of ``words`` normalised words of every text is hashed by rolling
 sums (numpy over Arrow batches, no shuffle) and looked up in the benchmark's
 set; a hash that is found is verified word by word. The set is built in blocks
-of bounded size: a benchmark beyond one block is scanned for in further passes
-over the same rows, so what is broadcast never grows with the tables.
+of bounded size. A benchmark beyond one block is scanned for in further passes:
+what a pass found is written to the shared folder and its block destroyed before
+the next one is built, so that one block at a time is held, whatever the tables' size.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, read_table, run_hash, text_slices
+from .common import discard, materialise, prefix_hash, read_table, run_hash, text_slices
 
 WINDOW = 10
 #: characters of benchmark text in one broadcast block
@@ -107,15 +108,15 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def gram_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_chars: int) -> Iterator[GramSet]:
-    """The benchmark's windows in blocks of about ``block_chars`` characters each."""
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
+def block_count(items: DataFrame, block_chars: int) -> int:
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // block_chars) or 1
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-    for i in range(blocks):
-        block = items if blocks == 1 else items.where(part == i)
-        yield GramSet([(r["item"], r["text"]) for r in block.toLocalIterator()], window)
+    return -(-chars // block_chars) or 1
+
+
+def gram_block(items: DataFrame, blocks: int, i: int, window: int) -> GramSet:
+    """Windows of the i-th of ``blocks`` parts of ``items(item, text)``."""
+    part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i)
+    return GramSet([(r["item"], r["text"]) for r in part.toLocalIterator()], window)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS, keep: list[str] | None = None) -> DataFrame:
@@ -133,8 +134,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     cur = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.lit(0).cast("bigint").alias("_n"), F.expr("cast(array() as array<struct<a: bigint, b: bigint>>)").alias("_runs"), F.expr("cast(array() as array<string>)").alias("_items"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(rest)])
     schema = cur.schema
     runs_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-    for block in gram_blocks(benchmark, item_col, item_text, window, block_chars):
-        shared = spark.sparkContext.broadcast(block)
+    entries = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text"))
+    blocks, before = block_count(entries, block_chars), None
+    for i in range(blocks):
+        shared = spark.sparkContext.broadcast(gram_block(entries, blocks, i, window))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -155,6 +158,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
         cur = cur.mapInArrow(run, schema)
+        if i < blocks - 1:
+            cur = materialise(cur, "contamination")
+            shared.destroy()
+            if before is not None:
+                discard(before)
+            before = cur
     name = {c: f"_k{i}" for i, c in enumerate(rest)} | {text_col: "_text"}
     return cur.select(F.col("_id").alias(id_col), F.col("_n").alias("n_words"), F.col("_runs").alias("runs"), F.col("_items").alias("items"), *[F.col(name[c]).alias(c) for c in keep])
 
