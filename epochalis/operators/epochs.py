@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import FLAT, MAX_ABS_Z, RAIL_SHARE, RAILS, SPAN_MS
+from ..scratch import written
 from .statistics import exact_percentiles
 
 EPOCH = ["rec_id", "epoch"]
@@ -88,7 +89,7 @@ def overlap_add(framed: DataFrame, width: int) -> DataFrame:
 
 def robust_sigma(df: DataFrame, group: str, value: str) -> DataFrame:
     """1.4826 times the median distance from the median, by group."""
-    centre = exact_percentiles(df, group, value, [0.5])
+    centre = written(exact_percentiles(df, group, value, [0.5]), "centres")
     far = df.join(centre, group).select(group, F.abs(F.col(value) - F.col("p0")).alias("_far"))
     return exact_percentiles(far, group, "_far", [0.5]).select(group, (F.col("p0") * 1.4826).alias("sigma"))
 

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
+
+#: values of a group that are sorted together
+WHOLE = 1024
+
 
 def anova_f(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """``feature, f``: between-class over within-class variance, from one pass of sums."""
@@ -26,15 +32,22 @@ def accuracy(df: DataFrame, by: list[str], y: str, pred: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col(y) == F.col(pred)).cast("int")).alias("accuracy"))
 
 
+def below_in(cuts: Column, value: Column, most: int) -> Column:
+    """How many of the rising ``cuts``, fewer than ``most``, are below the value: a binary search, 0 without cuts."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda b, s: b + F.when(F.get(cuts, b + s - 1) < value, s).otherwise(0))
+
+
 def cumulated(df: DataFrame, value: str, *weights: str, parts: int = 256) -> DataFrame:
     """Adds ``<weight>_below``: the sum of the weight over all rows of a smaller value (distinct values, none null).
 
     Values are dealt to stretches between quantiles of their own, so that none holds
     more than its share whatever their scale; a stretch's offset comes from the sums
-    of the few before it, and no task sorts all values.
+    of the few before it, and no task sorts all values. The quantiles are approximate
+    and another run of them gives others, so they are written once.
     """
-    cuts = df.agg(F.percentile_approx(value, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(100 * parts)).alias("_cuts"))
-    held = df.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter(F.coalesce("_cuts", F.array().cast(f"array<{df.schema[value].dataType.simpleString()}>")), lambda c: c < F.col(value)))).drop("_cuts")  # one row
+    cuts = written(df.agg(F.percentile_approx(value, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(100 * parts)).alias("_cuts")), "cuts")
+    held = df.crossJoin(F.broadcast(cuts)).withColumn("_b", below_in(F.col("_cuts"), F.col(value), parts)).drop("_cuts")  # one row
     below, inside = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     sums = held.groupBy("_b").agg(*[F.sum(w).alias(w) for w in weights]).select("_b", *[F.coalesce(F.sum(w).over(below), F.lit(0)).alias(f"_o_{w}") for w in weights])
     out = held.join(F.broadcast(sums), "_b")  # a row a stretch
@@ -132,10 +145,13 @@ def exact_percentiles(df: DataFrame, group: str, value: str, shares: list[float]
 
     Values are counted in stretches between quantiles of their group; the counts show
     which few stretches hold the ranks sought, and only those are sorted, each by itself.
+    The quantiles are approximate and another run of them gives others, so they are
+    written once. A group of at most ``WHOLE`` values is one stretch.
     """
     kept = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"))
     cuts = kept.groupBy(F.col(group).alias("_g")).agg(F.percentile_approx("_v", F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(20 * parts)).alias("_cuts"), F.count("*").alias("_n"))
-    held = kept.join(cuts, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts", "_g")
+    cuts = written(cuts.withColumn("_cuts", F.when(F.col("_n") > WHOLE, F.col("_cuts")).otherwise(F.array().cast("array<double>"))), "cuts")
+    held = kept.join(cuts, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_b", below_in(F.col("_cuts"), F.col("_v"), parts)).drop("_cuts", "_g")
     counts = held.groupBy(F.col(group).alias("_g"), F.col("_b").alias("_k")).agg(F.count("*").alias("_c"), F.first("_n").alias("_m"))
     below = Window.partitionBy("_g").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
     counts = counts.withColumn("_o", F.coalesce(F.sum("_c").over(below), F.lit(0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import BANDS
@@ -47,9 +47,15 @@ def query(sql: str | None):
     return register
 
 
+def near(value: Column | str, digits: int) -> Column:
+    """The value to so many digits as SQL's round has it: halves of the scaled double, not of its decimal text, go up."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def rounded(df: DataFrame, *keep: str, digits: int = 4) -> DataFrame:
     """Rounds all columns but ``keep``; adding 0.0 makes -0.0 into 0.0."""
-    return df.select(*[F.col(c) if c in keep else (F.round(F.col(c), digits) + 0.0).alias(c) for c in df.columns])
+    return df.select(*[F.col(c) if c in keep else (near(c, digits) + 0.0).alias(c) for c in df.columns])
 
 
 def _epochs(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +104,7 @@ _FRAMES = _FRAMES.replace("range(0, 100000)", f"(SELECT unnest(range(0, (SELECT
 
 @query(f"WITH {_FRAMES} SELECT rec_id, frame, count(*) AS n, round(avg(value), 6) + 0.0 AS mean FROM fr GROUP BY 1, 2")
 def frame_hop(spark, d):
-    return E.frames(samples(spark, d), WIDTH, HOP).groupBy("rec_id", "frame").agg(F.count("*").alias("n"), (F.round(F.avg("value"), 6) + 0.0).alias("mean"))
+    return E.frames(samples(spark, d), WIDTH, HOP).groupBy("rec_id", "frame").agg(F.count("*").alias("n"), (near(F.avg("value"), 6) + 0.0).alias("mean"))
 
 
 @query(f"""WITH {_FRAMES} SELECT rec_id, sample_idx, round(sum(value * (0.5 - 0.5 * cos(2 * pi() * off / {WIDTH}))), 4) + 0.0 AS value,
@@ -153,7 +159,7 @@ def guard_anti_join(spark, d):
 
 @query(f"WITH {_IV} SELECT k AS user_id, round(s + i * 900, 2) AS t0 FROM span, range(0, 20) r(i) WHERE s + (i + 1) * 900 <= e")
 def contained_windows(spark, d):
-    return I.contained_windows(_windows(spark, d)[1], 900.0).select(F.col("k").alias("user_id"), F.round("t0", 2).alias("t0"))
+    return I.contained_windows(_windows(spark, d)[1], 900.0).select(F.col("k").alias("user_id"), near("t0", 2).alias("t0"))
 
 
 @query(f"""WITH {_IV} SELECT window_id AS step_id, CASE WHEN EXISTS (SELECT 1 FROM span WHERE span.k = win.k AND s > t0 AND s <= t0 + 43200) THEN 1 ELSE 0 END AS y,
@@ -187,8 +193,8 @@ def nvar_taps(spark, d):
     """Taps two steps apart inside a file, and their products."""
     s = _steps(spark, d).withColumn("f", F.struct("rec_id", "file_id"))
     t = I.lagged(s, "f", "sample_idx", "value", [2, 4]).select("rec_id", "sample_idx", F.col("value").alias("u0"), F.col("lag_2").alias("u2"), F.col("lag_4").alias("u4"))
-    products = [F.round(F.col(f"u{a}") * F.col(f"u{b}"), 4).alias(f"p{a}{b}") for a, b in ((0, 0), (0, 2), (0, 4), (2, 2), (2, 4), (4, 4))]
-    return t.select("rec_id", "sample_idx", *[F.round(f"u{k}", 4).alias(f"u{k}") for k in (0, 2, 4)], *products)
+    products = [near(F.col(f"u{a}") * F.col(f"u{b}"), 4).alias(f"p{a}{b}") for a, b in ((0, 0), (0, 2), (0, 4), (2, 2), (2, 4), (4, 4))]
+    return t.select("rec_id", "sample_idx", *[near(f"u{k}", 4).alias(f"u{k}") for k in (0, 2, 4)], *products)
 
 
 @query(f"""WITH {_STEPS}, p AS (SELECT rec_id, value AS v, lead(value) OVER w AS nxt, avg(value) OVER (PARTITION BY rec_id ORDER BY sample_idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS pred,
@@ -233,7 +239,7 @@ def _search_grid(spark):
 def atom_search(spark, d):
     """Best atom of each vector, taken as one second of 64 samples."""
     signals = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("w"))
-    return D.search(signals, _search_grid(spark), 64, 64.0).select(F.col("id").alias("vec_id"), "atom_id", F.round("energy", 6).alias("energy"))
+    return D.search(signals, _search_grid(spark), 64, 64.0).select(F.col("id").alias("vec_id"), "atom_id", near("energy", 6).alias("energy"))
 
 
 _AT = """atm AS (SELECT vec_id // 5 AS epoch_id, (vec_id % 5)::int AS ch_idx, k::int AS atom_idx, abs(embedding[k * 5 + 1]::DOUBLE) * 4 AS t_s, abs(embedding[k * 5 + 2]::DOUBLE) * 120 AS f_hz,
@@ -244,7 +250,7 @@ _AT = """atm AS (SELECT vec_id // 5 AS epoch_id, (vec_id % 5)::int AS ch_idx, k:
 
 @query(f"WITH {_AT} SELECT epoch_id, ch_idx, atom_idx, round(f_hz, 4) AS f_hz, round(rate_hz_s * dur_s, 4) + 0.0 AS sweep_hz, osc FROM ao")
 def atom_physical(spark, d):
-    return atoms(spark, d).select("epoch_id", "ch_idx", "atom_idx", F.round("f_hz", 4).alias("f_hz"), (F.round(F.col("rate_hz_s") * F.col("dur_s"), 4) + 0.0).alias("sweep_hz"), A.oscillatory(2.0).alias("osc"))
+    return atoms(spark, d).select("epoch_id", "ch_idx", "atom_idx", near("f_hz", 4).alias("f_hz"), (near(F.col("rate_hz_s") * F.col("dur_s"), 4) + 0.0).alias("sweep_hz"), A.oscillatory(2.0).alias("osc"))
 
 
 _BAND_SUMS = ", ".join(f"round(coalesce(sum(energy) FILTER (WHERE osc AND f_hz >= {lo} AND f_hz < {hi}), 0) / sum(energy), 4) AS frac_{b}" for b, (lo, hi) in BANDS.items())
@@ -336,9 +342,9 @@ def roc_auc_rank(spark, d):
   SELECT count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0)::DOUBLE AS w_plus, coalesce(sum(r) FILTER (WHERE d < 0), 0)::DOUBLE AS w_minus FROM r""")
 def wilcoxon_w(spark, d):
     """Signed ranks of the suppliers' mean quantities, even against odd lines."""
-    side = lambda k: F.round(F.avg(F.when(F.col("l_linenumber") % 2 == k, F.col("l_quantity"))), 3)
+    side = lambda k: near(F.avg(F.when(F.col("l_linenumber") % 2 == k, F.col("l_quantity"))), 3)
     pairs = read(spark, d, "lineitem").groupBy("l_suppkey").agg(side(0).alias("a"), side(1).alias("b"))
-    return S.wilcoxon_w(pairs, F.round(F.col("a") - F.col("b"), 3)).select("n", F.col("w_plus").cast("double").alias("w_plus"), F.col("w_minus").cast("double").alias("w_minus"))
+    return S.wilcoxon_w(pairs, near(F.col("a") - F.col("b"), 3)).select("n", F.col("w_plus").cast("double").alias("w_plus"), F.col("w_minus").cast("double").alias("w_minus"))
 
 
 _COUNTS = "cts AS (SELECT s_nationkey AS circuit_id, lpad(bin(s_suppkey % 8), 4, '0') AS bits, count(*) AS n FROM supplier GROUP BY 1, 2)"
@@ -497,7 +503,7 @@ def aligned_sets(spark, d):
 @query(f"""WITH {_AT} SELECT epoch_id, ch_idx, atom_idx, rank::INT AS rank, round(percent, 4) AS percent FROM (SELECT *, row_number() OVER (PARTITION BY epoch_id, ch_idx ORDER BY energy DESC, atom_idx) AS rank, 100 * energy / sum(energy) OVER (PARTITION BY epoch_id, ch_idx) AS percent FROM atm) WHERE rank <= 3""")
 def explain_atoms(spark, d):
     """The three strongest atoms of each channel-epoch."""
-    return C.explained(atoms(spark, d)).select("epoch_id", "ch_idx", "atom_idx", "rank", (F.round("percent", 4) + 0.0).alias("percent"))
+    return C.explained(atoms(spark, d)).select("epoch_id", "ch_idx", "atom_idx", "rank", (near("percent", 4) + 0.0).alias("percent"))
 
 
 @query("""WITH x AS (SELECT doc_id, n_chars::DOUBLE AS a, (n_chars % 17)::DOUBLE AS b FROM documents), s AS (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb FROM x)
@@ -524,14 +530,14 @@ def forecast_metrics(spark, d):
 def seed_means(spark, d):
     """Mean score of each subject over the seeds that gave one."""
     x = F.nullif(F.col("l_discount"), F.lit(0))
-    return read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("subject")).agg(F.round(F.avg(x), 9).alias("score"), F.count(x).alias("n"))
+    return read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("subject")).agg(near(F.avg(x), 9).alias("score"), F.count(x).alias("n"))
 
 
 @query("SELECT vec_id, len(x) AS k, round(list_sum(x), 5) + 0.0 AS total FROM (SELECT vec_id, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS x FROM embeddings)")
 def leading_components(spark, d):
     """The first eight components of each vector."""
     x = F.slice(F.col("embedding").cast("array<double>"), 1, 8)
-    return read(spark, d, "embeddings").select("vec_id", F.size(x).cast("bigint").alias("k"), (F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), 5) + 0.0).alias("total"))
+    return read(spark, d, "embeddings").select("vec_id", F.size(x).cast("bigint").alias("k"), (near(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), 5) + 0.0).alias("total"))
 
 
 @query("SELECT doc_id AS id, 'document' AS kind FROM documents UNION SELECT item_id::VARCHAR, 'benchmark' FROM benchmark".replace("doc_id AS id", "doc_id::VARCHAR AS id"))
@@ -555,7 +561,7 @@ def logreg_out_of_fold(spark, d):
     text = F.coalesce("text", F.lit(""))
     x = rows.select("doc_id", "source", "quality", F.log1p(F.length(text)).alias("size"), (F.regexp_count(text, F.lit(r"\s+")) / (F.length(text) + 1)).alias("blanks"), (F.regexp_count(text, F.lit(r"[0-9]")) / (F.length(text) + 1)).alias("digits"), (F.regexp_count(text, F.lit(r"[.!?]")) / (F.length(text) + 1)).alias("stops"))
     out = M.out_of_fold(written(x, "features"), ["size", "blanks", "digits", "stops"], "quality", "source", 4, n=3)
-    return out.select("doc_id", "source", "fold", "predicted", F.round("probability", 6).alias("probability"))
+    return out.select("doc_id", "source", "fold", "predicted", near("probability", 6).alias("probability"))
 
 
 @query(f"""WITH {_IV}, near AS (SELECT o.event_id AS onset_id, w.window_id AS step, w.t0, row_number() OVER (PARTITION BY o.event_id ORDER BY w.t0, w.window_id) AS r
@@ -567,7 +573,7 @@ def first_step_after(spark, d):
     e = read(spark, d, "events").select("event_id", F.col("user_id").alias("k"), "event_type", t.alias("t"))
     onsets = e.where("event_type = 'error'").select(F.col("event_id").alias("onset_id"), "k", F.col("t").alias("s"))
     steps = e.where("event_type <> 'error'").select("k", "t", F.col("event_id").alias("step"))
-    return I.first_after(onsets, steps, "k", 600.0, 86400.0).select("onset_id", "step", F.round("t", 3).alias("t"))
+    return I.first_after(onsets, steps, "k", 600.0, 86400.0).select("onset_id", "step", near("t", 3).alias("t"))
 
 
 @query(f"""WITH {_STEPS}, h AS (SELECT rec_id, sample_idx, list(value) OVER (PARTITION BY rec_id ORDER BY sample_idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS v FROM st)
@@ -576,7 +582,7 @@ def history_arrays(spark, d):
     """Six values before and at each sample, summed with rising weights so that their order shows."""
     held = I.histories(samples(spark, d), "rec_id", "sample_idx", "value", 6).where("history is not null")
     weighted = F.aggregate(F.zip_with("history", F.array(*[F.lit(float(k)) for k in range(1, 7)]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return held.select("rec_id", "sample_idx", (F.round(weighted, 4) + 0.0).alias("weighted"))
+    return held.select("rec_id", "sample_idx", (near(weighted, 4) + 0.0).alias("weighted"))
 
 
 @query(f"""WITH s AS (SELECT user_id AS rec_id, event_type AS channel, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS i, epoch_us(ts) // 1000 AS ms, value FROM events),
