@@ -134,7 +134,7 @@ def _steps(spark, d):
 def horizon_sums(spark, d):
     """Sums of products of inputs and of what changes one and three steps on, by person and part."""
     rows = N.horizon_rows(_steps(spark, d), HORIZONS, HISTORY).withColumn("part", F.when(F.col("idx") < 30, "early").otherwise("late"))
-    return rounded(N.masked_sums(rows), "person", "part", "h", "i", "j", digits=6)
+    return rounded(N.masked_sums(rows, empty=False), "person", "part", "h", "i", "j", digits=6)
 
 
 @query(None)
