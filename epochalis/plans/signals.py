@@ -140,7 +140,7 @@ def horizon_sums(spark, d):
 @query(None)
 def horizon_skill(spark, d):
     """Skill one and three steps on, of each person's own readout and of everyone's, with penalties chosen on held-out files."""
-    rows = N.halves(N.horizon_rows(_steps(spark, d), HORIZONS, HISTORY), HORIZONS, HISTORY, val_share=0.3)
+    rows = N.halves(written(N.horizon_rows(_steps(spark, d), HORIZONS, HISTORY), "horizon-rows"), HORIZONS, HISTORY, val_share=0.3)
     out = N.forecast_skills(rows, HORIZONS)
     return out.select("person", "alpha", F.round("val_skill", 6).alias("val_skill"), F.round("skill", 6).alias("skill"), "pooled_alpha", F.round("pooled_skill", 6).alias("pooled_skill"))
 
