@@ -153,7 +153,7 @@ def denoise_rules(spark, d):
     """Median gain of 144 rules on recordings with a burst of 6 Hz over every third stretch of eight samples."""
     s = samples(spark, d)
     burst = F.when(F.floor(F.col("sample_idx") / 8) % 3 == 0, 400 * F.cos(2 * F.pi() * 6 * F.col("sample_idx") / 16)).otherwise(0.0)
-    held = s.withColumn("artifact", burst).withColumn("value", F.col("value") + F.col("artifact"))
+    held = written(s.select("rec_id", "sample_idx", "value", burst.alias("artifact")).withColumn("value", F.col("value") + F.col("artifact")), "held")
     framed = E.frames(held, 16, 8).groupBy("rec_id", "frame").agg(F.transform(F.sort_array(F.collect_list(F.struct("offset", "value"))), lambda x: x["value"]).alias("w"))
     found = written(atoms_of(framed, 16, 16.0, 3, True, ("rec_id", "frame")), "atoms")
     waves = Z.set_waves(found, E.robust_sigma(held, "rec_id", "value"), AXES, 16, 8)

@@ -59,3 +59,14 @@ def test_bits_say_what_rules_say(spark):
     met = spark.createDataFrame(rows, "f double, dur double, amp double").select("f", "dur", "amp", A.parts_met(F.col("f"), F.col("dur"), F.col("amp"), F.lit(1.0), parts).alias("met")).collect()
     for r in met:
         assert all(bool(r["met"] & mask) == flagged(r["f"], r["dur"], r["amp"], 1.0, rule) for mask, rule in grid)
+
+
+def test_long_recordings_keep_only_energies(spark):
+    # more samples than a stretch; what is left comes from written energies, not from pairs of sets at each sample
+    n = D.STRETCH + 5000
+    art = spark.range(n).selectExpr("'r' as rec_id", "id as sample_idx", "cast(id % 7 as double) as value")
+    waves = spark.range(n).selectExpr("'r' as rec_id", "id as sample_idx", "4095 as met", "cast(id % 7 as double) / 2 as value")
+    scores = D.rule_scores(waves, art, AXES)
+    assert "energies" in scores.inputFiles()[0]
+    rows, whole = scores.collect(), sum((i % 7) ** 2 for i in range(n))
+    assert len(rows) == 64 and all(math.isclose(r["before"], whole) and math.isclose(r["left"], whole / 4) for r in rows)
