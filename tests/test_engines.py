@@ -162,3 +162,14 @@ def test_frames_reconstruct_the_interior(spark, data, parts):
     out = E.overlap_add(E.frames(s, 16, 8), 16).where("cover > 0.999")
     bad = out.join(s.select("rec_id", "sample_idx", s["value"].alias("v")), ["rec_id", "sample_idx"]).where("abs(value - v) > 1e-6").count()
     assert bad == 0
+
+
+def test_slopes_of_kept_steps_alone():
+    from epochalis.functions.pursuit import Tangents
+
+    rng = np.random.default_rng(9)
+    x, p = rng.normal(size=(6, 64)), np.column_stack((rng.random(6), 20 * rng.random(6), 0.1 + rng.random(6), rng.normal(size=6), 0.1 + rng.random(6)))
+    some = np.array([True, False, True, True, False, False])
+    energy, slope, curve = tangents(x, p, 64, 64.0)
+    held = Tangents(x, p, 64, 64.0)
+    assert (held.energy == energy).all() and all((a == b[some]).all() for a, b in zip(held.slopes(some), (slope, curve)))
