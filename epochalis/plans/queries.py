@@ -550,7 +550,7 @@ def union_cases(spark, d):
 def epoch_features(spark, d):
     """From signals to feature rows: atoms of every vector, the 13 statistics of its channel, the 18 of its epoch; five vectors are an epoch."""
     signals = read(spark, d, "embeddings").select((F.col("vec_id") / 5).cast("bigint").alias("epoch_id"), (F.col("vec_id") % 5).cast("int").alias("ch_idx"), F.col("embedding").cast("array<double>").alias("w"))
-    found = atoms_of(signals, 64, 64.0)
+    found = written(atoms_of(signals, 64, 64.0), "atoms")
     return rounded(A.feature_rows(found, 1.0), "epoch_id", "ch_idx", digits=5)
 
 

@@ -173,3 +173,10 @@ def test_slopes_of_kept_steps_alone():
     energy, slope, curve = tangents(x, p, 64, 64.0)
     held = Tangents(x, p, 64, 64.0)
     assert (held.energy == energy).all() and all((a == b[some]).all() for a, b in zip(held.slopes(some), (slope, curve)))
+
+
+def test_features_search_atoms_once(spark, data):
+    from epochalis.plans.queries import QUERIES
+
+    files = QUERIES["epoch_features"](spark, data).inputFiles()
+    assert files and all("/atoms-" in f for f in files)
