@@ -387,7 +387,7 @@ def pursuit(spark, d):
 @query(None)
 def denoise(spark, d):
     """Frames of each recording lose the atoms that the artifact rule flags; overlap-add gives the cleaned samples."""
-    s = samples(spark, d)
+    s = written(samples(spark, d).select("rec_id", "sample_idx", "value"), "samples")
     framed = E.frames(s, WIDTH, HOP)
     signals = framed.groupBy("rec_id", "frame").agg(F.transform(F.sort_array(F.collect_list(F.struct("offset", "value"))), lambda x: x["value"]).alias("w"))
     sigma = E.robust_sigma(s, "rec_id", "value")

@@ -180,3 +180,9 @@ def test_features_search_atoms_once(spark, data):
 
     files = QUERIES["epoch_features"](spark, data).inputFiles()
     assert files and all("/atoms-" in f for f in files)
+
+
+def test_denoise_numbers_samples_once(spark, data):
+    from epochalis.plans.queries import QUERIES
+
+    assert any("/samples-" in f for f in QUERIES["denoise"](spark, data).inputFiles())
