@@ -6,7 +6,15 @@ so a join that misses none follows for what is not yet in one component.
 
 Two sets with a Jaccard similarity of at least s share an element among the first
 n - ceil(s * n) + 1 of each, in any fixed order of all elements. Here frequent
-shingles come last, so that few documents meet at one shingle. Both rounds
+shingles come last, so that few documents meet at one shingle.
+
+Prefixes longer by k shingles share k or more: of the two, take the set whose
+prefix ends first; at most its last ceil(s * n) - k shingles lie behind it, and
+what it shares before that is in the other's prefix too. So a document of whose
+longer prefix fewer shingles are in any other prefix is in no pair. It is left
+out before any pair is made, which keeps documents that only quote one passage
+from meeting each other. k is a share of n, and as partners have ceil(s * n)
+shingles at least, the k of that size is what is asked for. Both rounds
 compare whole shingle sets, so that no pair is missed and none is wrong. The
 first takes one partner a document and shingle; the last one compares what meets
 and is not yet in one component.
@@ -37,6 +45,10 @@ OFTEN = 2
 CAP = 2048
 #: parts of the hash range that a sketch counts; a power of two
 SKETCH = 512
+#: prefixes are longer by a set's size over this
+LONGER = 8
+#: how often documents that share too little are left out, each time among those that were left
+LEFT_OUT = 2
 
 
 def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -60,6 +72,11 @@ def _least_shared(size: np.ndarray | int, num: int, den: int):
     return -(-size * num // den)
 
 
+def _longer(size: int) -> int:
+    """Shingles that longer prefixes share at least, where the smaller set has ``size``; the first of them is in the plain prefixes."""
+    return max(1, size // LONGER)
+
+
 def sketch(s: np.ndarray) -> bytes:
     """How many of a set's shingles fall into each of SKETCH equal parts of the hash range, 255 at most."""
     part = (s >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.intp)
@@ -67,7 +84,7 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, words: int, num: int, den: int) -> DataFrame:
-    """``(id, n, s1, s2, fp, sketch, rare, tokens)``: size, two hashes, SimHash and sketch of the shingle set, and its first shingles, the ``rare`` ones before those in ``frequent``."""
+    """``(id, n, s1, s2, fp, sketch, rare, tokens)``: size, two hashes, SimHash and sketch of the shingle set, and its longer prefix, the ``rare`` shingles before those in ``frequent``."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +103,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, words: int, num: int, den: i
                     counts.append(sketch(s))
                     s1.append(int(mixed(s.copy()).sum().view(np.int64)))
                     s2.append(int(mixed(s * _FACTOR + np.uint64(1)).sum().view(np.int64)))
-                    tokens.append(np.concatenate([s[~late], s[late]])[: len(s) - _least_shared(len(s), num, den) + 1].view(np.int64))
+                    tokens.append(np.concatenate([s[~late], s[late]])[: len(s) - _least_shared(len(s), num, den) + _longer(len(s))].view(np.int64))
                 ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(counts, pa.binary()), pa.array(rare, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens)))], ["id", "n", "s1", "s2", "fp", "sketch", "rare", "tokens"])
 
@@ -107,19 +124,39 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return np.sort(rows.column("token").to_numpy().view(np.uint64))
 
 
-def shared_rows(points: DataFrame) -> DataFrame:
-    """``(rep, place, token, size)``: the first shingles that more than one document holds, with the set's size times 2**32 plus the shingle's place, and how many hold it.
+def counted(rows: DataFrame) -> DataFrame:
+    """``rows`` of shingles that more than one document holds, with how many do."""
+    return rows.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1")
+
 
-    One shuffle brings the rows of rare shingles together, which counts them.
-    Rows of frequent ones stay where they are; only their counts are broadcast,
-    of no more shingles than the bounded sample has.
+def shared_rows(points: DataFrame, num: int, den: int) -> DataFrame:
+    """``(rep, place, token, size)``: the plain prefixes' shingles that more than one document holds, with the set's size times 2**32 plus the shingle's place, and how many hold it.
+
+    Documents that share too little of their longer prefixes are left out. One
+    shuffle brings the rows of rare shingles together, which counts them.
+    Rows of frequent ones stay where they are, and count as shared; only their
+    counts are broadcast, of no more shingles than the bounded sample has.
     """
     place = F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("pos")
-    rows = points.select(F.col("id").alias("rep"), "n", "rare", F.posexplode("tokens").alias("pos", "token"))
-    few, often = (rows.where(part).select("rep", place.alias("place"), "token") for part in ("pos < rare", "pos >= rare"))
-    few = few.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1")
+    least = f"(({{0}} * {num} + {den - 1}) div {den})"
+    n = "shiftright(place, 32)"
+    plain = f"(place & 4294967295) <= {n} - {least.format(n)}"
+    exploded = lambda some: some.select(F.col("id").alias("rep"), "n", "rare", F.posexplode("tokens").alias("pos", "token"))
+    few = exploded(points).where("pos < rare").select("rep", place.alias("place"), "token")
+    asked = points.select(F.col("id").alias("rep"), F.expr(f"greatest(1, {least.format('n')} div {LONGER}) - greatest(0, size(tokens) - rare)").alias("asked"))
+    held: list[DataFrame] = []
+    for _ in range(LEFT_OUT):
+        held.append(materialise(counted(few).drop("size"), "jaccard-few"))
+        sums = held[-1].groupBy("rep").agg(F.count("*").alias("shared"))
+        asked = materialise(asked.join(sums, "rep", "left").where("coalesce(shared, 0) >= asked").drop("shared"), "jaccard-asked")
+        kept = asked.select(F.col("rep").alias("id"))
+        few = parted(held[-1], kept, "rep")[0]
+    few = counted(few.where(plain))
+    often = exploded(parted(points, kept, "id")[0]).where("pos >= rare").select("rep", place.alias("place"), "token").where(plain)
     sizes = often.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    return few.unionAll(often.join(F.broadcast(sizes), "token").select(few.columns))
+    out = materialise(few.unionAll(often.join(F.broadcast(sizes), "token").select(few.columns)), "jaccard-groups")
+    discard(*held)
+    return out
 
 
 def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -270,7 +307,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5)
     repeats = materialise(named.where("id <> rep").select("id").join(same.select(F.col("rep").alias("id")), "id", "left_anti").distinct(), "jaccard-repeats")
     unsure, points = parted(marks, repeats, "id")
     points = points.unionAll(unsure.join(repeats, "id", "left_anti").select(marks.columns))
-    groups = materialise(shared_rows(points), "jaccard-groups")
+    groups = shared_rows(points, num, den)
     links: list[DataFrame] = []
     for last in (False, True):
         # at first one partner a document and shingle, so that what is left for the last step is little

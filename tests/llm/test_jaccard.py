@@ -42,3 +42,17 @@ def test_near_duplicates_from_08(spark, monkeypatch, cap):
     assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == dict(enumerate(label))
     kept = {r.doc_id for r in stage(spark, docs, None).collect()}
     assert kept == set(label)
+
+
+def test_a_quoted_passage_makes_few_pairs(spark, monkeypatch):
+    # each text quotes one of the passages and is else its own; the passages' shingles are too rare to come last
+    made = []
+    real = jaccard.open_pairs
+    monkeypatch.setattr(jaccard, "open_pairs", lambda *a, **k: made.append(real(*a, **k).count()) or real(*a, **k))
+    monkeypatch.setattr(jaccard, "OFTEN", 1 << 30)
+    line = [[f"p{k}x{i}" for i in range(60)] for k in range(2)]
+    docs = [(d, " ".join([f"d{d}x{i}" for i in range(200)] + line[d % 2] + [f"e{d}x{i}" for i in range(40)])) for d in range(40)]
+    docs += [(d + 100, t.replace(f"d{d}x7 ", "changed ")) for d, t in docs[:5]]
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: d % 100 for d, _ in docs}
+    assert made[0] <= 45
