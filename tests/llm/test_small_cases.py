@@ -465,3 +465,15 @@ def test_training_raises_the_score():
     before = m.score(texts[:20], np.tile(counts, 20)).sum()
     m.train(np.concatenate([lm.windows_of(t, counts, stats.opens, np.arange(0, len(t) - 1, lm.WINDOW)) for t in texts]), steps=120)
     assert m.score(texts[:20], np.tile(counts, 20)).sum() > before + 100
+
+
+def test_lexicon_does_not_walk_through_known_words():
+    class Watched(lm.Lexicon):
+        def __iter__(self):
+            raise AssertionError("a text costs as much as all words met before it")
+
+    lexicon = Watched({b"one": 0}, np.array([3]))
+    for text in ("one two", "two three three", None):
+        got = lexicon.read(text)
+    assert got[4] == 0
+    assert lexicon.read("three one two three")[2:5:2] == ([b"two", b"three"], 4)
