@@ -12,12 +12,18 @@ Prefixes longer by k shingles share k or more: of the two, take the set whose
 prefix ends first; at most its last ceil(s * n) - k shingles lie behind it, and
 what it shares before that is in the other's prefix too. So a document of whose
 longer prefix fewer shingles are in any other prefix is in no pair. It is left
-out before any pair is made, which keeps documents that only quote one passage
-from meeting each other. k is a share of n, and as partners have ceil(s * n)
-shingles at least, the k of that size is what is asked for. Both rounds
-compare whole shingle sets, so that no pair is missed and none is wrong. The
-first takes one partner a document and shingle; the last one compares what meets
-and is not yet in one component.
+out before any pair is made. k is a share of n, and as partners have ceil(s * n)
+shingles at least, the k of that size is what is asked for.
+
+A sample can't tell how many documents hold a shingle that is in few of its own.
+So all shingles of the documents that are left are counted, and their prefixes
+are made anew, the shingles in the fewest documents first. What many documents
+quote comes last, and documents that have a fifth of their own, or share it with
+few, don't meet at it, however many they are.
+
+Both rounds compare whole shingle sets, so that no pair is missed and none is
+wrong. The first takes one partner a document and shingle; the last one compares
+what meets and is not yet in one component, a pair where it meets first.
 
 Before whole texts are sent, a sketch is: how many shingles of a set fall into
 each of SKETCH parts of the hash range. Two sets differ in at least as many
@@ -129,20 +135,49 @@ def counted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1")
 
 
-def shared_rows(points: DataFrame, num: int, den: int) -> DataFrame:
-    """``(rep, place, token, size)``: the plain prefixes' shingles that more than one document holds, with the set's size times 2**32 plus the shingle's place, and how many hold it.
+def with_counts(few: DataFrame, often: DataFrame, name: str) -> DataFrame:
+    """Rows of shingles that more than one row has, with how many do as ``name``.
+
+    One shuffle brings the rows of rare shingles together, which counts them.
+    Rows of frequent ones stay where they are; only their counts are broadcast,
+    of no more shingles than the bounded sample has.
+    """
+    sizes = often.groupBy("token").agg(F.count("*").alias(name)).where(f"{name} > 1")
+    few = counted(few).withColumnRenamed("size", name)
+    return few.unionAll(often.join(F.broadcast(sizes), "token").select(few.columns))
+
 
-    Documents that share too little of their longer prefixes are left out. One
-    shuffle brings the rows of rare shingles together, which counts them.
-    Rows of frequent ones stay where they are, and count as shared; only their
-    counts are broadcast, of no more shingles than the bounded sample has.
+def all_shingles(texts: DataFrame, frequent: np.ndarray, words: int, often: bool) -> DataFrame:
+    """``(rep, whole, token)``: all shingles of ``texts(id, text)`` in ``frequent``, or all others. ``whole`` is the set's size times 2**32 plus 32 bits of its hash, which tells sets of one id apart."""
+    held = texts.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = held.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                rep, whole, tokens = [], [], []
+                for i, t in zip(batch.column(0).slice(lo, 256).to_pylist(), batch.column(1).slice(lo, 256).to_pylist(), strict=True):
+                    s = shingles(t, words)
+                    rep.append(i)
+                    whole.append((len(s) << 32) + (int(mixed(s.copy()).sum()) & 0xFFFFFFFF))
+                    at = np.searchsorted(late, s)
+                    tokens.append(s[(late[np.minimum(at, len(late) - 1)] == s) == often] if len(late) else s[: 0 if often else None])
+                size = [*map(len, tokens)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(rep, np.int64), size)), pa.array(np.repeat(np.array(whole, np.int64), size)), pa.array(np.concatenate(tokens).view(np.int64))], ["rep", "whole", "token"])
+
+    return texts.mapInArrow(run, "rep bigint, whole bigint, token bigint")
+
+
+def shared_rows(points: DataFrame, texts: DataFrame, frequent: np.ndarray, words: int, num: int, den: int) -> DataFrame:
+    """``(rep, place, token, prev, size)``: shingles of prefixes that more than one document holds, with the set's size times 2**32 plus the shingle's place, the set's shingle before it (0: none), and how many hold it.
+
+    Documents that share too little of their longer prefixes are left out; frequent
+    shingles count as shared there. Prefixes of the others are made anew, the
+    shingles that the fewest of them hold first. Shingles that one holds come before
+    all others, so that their number does for the places behind them.
     """
-    place = F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("pos")
     least = f"(({{0}} * {num} + {den - 1}) div {den})"
-    n = "shiftright(place, 32)"
-    plain = f"(place & 4294967295) <= {n} - {least.format(n)}"
-    exploded = lambda some: some.select(F.col("id").alias("rep"), "n", "rare", F.posexplode("tokens").alias("pos", "token"))
-    few = exploded(points).where("pos < rare").select("rep", place.alias("place"), "token")
+    few = points.select(F.col("id").alias("rep"), "rare", F.posexplode("tokens").alias("pos", "token")).where("pos < rare").select("rep", "token")
     asked = points.select(F.col("id").alias("rep"), F.expr(f"greatest(1, {least.format('n')} div {LONGER}) - greatest(0, size(tokens) - rare)").alias("asked"))
     held: list[DataFrame] = []
     for _ in range(LEFT_OUT):
@@ -151,11 +186,15 @@ def shared_rows(points: DataFrame, num: int, den: int) -> DataFrame:
         asked = materialise(asked.join(sums, "rep", "left").where("coalesce(shared, 0) >= asked").drop("shared"), "jaccard-asked")
         kept = asked.select(F.col("rep").alias("id"))
         few = parted(held[-1], kept, "rep")[0]
-    few = counted(few.where(plain))
-    often = exploded(parted(points, kept, "id")[0]).where("pos >= rare").select("rep", place.alias("place"), "token").where(plain)
-    sizes = often.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    out = materialise(few.unionAll(often.join(F.broadcast(sizes), "token").select(few.columns)), "jaccard-groups")
-    discard(*held)
+    left = texts_of(texts, kept)
+    rows = with_counts(*(all_shingles(left, frequent, words, often).withColumn("often", F.lit(often)) for often in (False, True)), "holders")
+    own = Window.partitionBy("rep", "whole")
+    rows = rows.withColumn("rank", F.dense_rank().over(own.orderBy("holders", "token"))).withColumn("prev", F.lag("token", 1, 0).over(own.orderBy("holders", "token")))
+    n = F.shiftright("whole", 32)
+    rows = rows.withColumn("n", n).withColumn("pos", n - F.max("rank").over(own) + F.col("rank") - 1).where(f"pos <= n - {least.format('n')}")
+    cut = materialise(rows.select("rep", (F.shiftleft("n", 32) + F.col("pos")).alias("place"), "token", "prev", "often"), "jaccard-prefixes")
+    out = materialise(with_counts(cut.where("not often"), cut.where("often"), "size").drop("often"), "jaccard-groups")
+    discard(*held, left, cut)
     return out
 
 
@@ -267,13 +306,13 @@ def open_pairs(groups: DataFrame, comp: DataFrame, num: int, den: int, cap: int
         large.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
         .join(mixed_, ["token", "own"])
         .withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
-        .select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "rep", "place", "component")
+        .select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "rep", "place", "prev", "component")
     )
-    dealt = dealt_by_task(rows.where(F.col("size") <= cap).select(F.xxhash64("token").alias("task"), "rep", "place", "component").unionAll(parts))
+    dealt = dealt_by_task(rows.where(F.col("size") <= cap).select(F.xxhash64("token").alias("task"), "rep", "place", "prev", "component").unionAll(parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["task"], 1 << 16):
-            task, rep, place, comp_ = (table.column(c).to_numpy() for c in ("task", "rep", "place", "component"))
+            task, rep, place, prev, comp_ = (table.column(c).to_numpy() for c in ("task", "rep", "place", "prev", "component"))
             n, pos = place >> 32, place & 0xFFFFFFFF
             starts = group_starts(task)
             for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(rep)]):
@@ -284,7 +323,8 @@ def open_pairs(groups: DataFrame, comp: DataFrame, num: int, den: int, cap: int
                     if not len(j):
                         continue
                     need = _least_shared(n[i] + n[j], num, num + den)
-                    j = j[(comp_[j] != comp_[i]) & (1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= need)]
+                    # two that share the shingle before this one have met there
+                    j = j[(comp_[j] != comp_[i]) & ((prev[j] != prev[i]) | (prev[i] == 0)) & (1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= need)]
                     if len(j):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], ["a", "b"])
 
@@ -300,14 +340,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5)
     Texts without words are equal.
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), "text")
-    marks = materialise(prefixes(texts, frequent_shingles(texts, words), words, num, den), "jaccard")
+    frequent = frequent_shingles(texts, words)
+    marks = materialise(prefixes(texts, frequent, words, num, den), "jaccard")
     # equal sets are one point
     same = materialise(marks.groupBy("s1", "s2").agg(F.min("id").alias("rep")), "jaccard-same")
     named = marks.select("id", "s1", "s2").join(same, ["s1", "s2"])
     repeats = materialise(named.where("id <> rep").select("id").join(same.select(F.col("rep").alias("id")), "id", "left_anti").distinct(), "jaccard-repeats")
     unsure, points = parted(marks, repeats, "id")
     points = points.unionAll(unsure.join(repeats, "id", "left_anti").select(marks.columns))
-    groups = shared_rows(points, num, den)
+    groups = shared_rows(points, texts, frequent, words, num, den)
     links: list[DataFrame] = []
     for last in (False, True):
         # at first one partner a document and shingle, so that what is left for the last step is little

@@ -56,3 +56,29 @@ def test_a_quoted_passage_makes_few_pairs(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {d: d % 100 for d, _ in docs}
     assert made[0] <= 45
+
+
+def test_shared_halves_make_few_pairs(spark, monkeypatch):
+    # each text is half a passage and half its own: longer prefixes share enough to leave none out, and no sample shows the passages
+    made = []
+    real = jaccard.open_pairs
+    monkeypatch.setattr(jaccard, "open_pairs", lambda *a, **k: made.append(real(*a, **k).count()) or real(*a, **k))
+    monkeypatch.setattr(jaccard, "OFTEN", 1 << 30)
+    half = [[f"p{k}x{i}" for i in range(100)] for k in range(2)]
+    docs = [(d, " ".join([f"d{d}x{i}" for i in range(100)] + half[d % 2])) for d in range(40)]
+    docs += [(d + 100, t.replace(f"d{d}x7 ", "changed ")) for d, t in docs[:5]]
+    # one id twice, with one set and with two
+    docs += [docs[0], (0, docs[0][1].replace(" ", "  ")), (1, "other words " * 3 + docs[7][1])]
+    got = {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(d, 1 if d == 7 else d % 100) for d, _ in docs}
+    assert made[0] <= 10
+
+
+def test_a_pair_is_made_where_it_meets_first(spark, monkeypatch):
+    # two sets of ten shingles that share five in a row, and one more behind shingles that others share with them
+    shared = [1, 2, 3, 4, 5, 9]
+    rows = [(d, (10 << 32) + i, t, p) for d, own in ((7, 6), (8, 6)) for i, (t, p) in enumerate(zip(shared, [0, 1, 2, 3, 4, own + d]))]
+    groups = spark.createDataFrame([(*r, 2) for r in rows], "rep long, place long, token long, prev long, size long")
+    comp = spark.createDataFrame([], "id long, component long")
+    monkeypatch.setattr(type(groups), "distinct", lambda some: some)
+    assert [tuple(r) for r in jaccard.open_pairs(groups, comp, 1, 5).collect()] == [(7, 8)] * 2
