@@ -48,7 +48,8 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SAMPLE = 6_000
 OFTEN = 2
-CAP = 2048
+#: documents of a shingle that meet in one task; more are cut into blocks, which changes no result
+CAP = 256
 #: parts of the hash range that a sketch counts; a power of two
 SKETCH = 512
 #: prefixes are longer by a set's size over this
@@ -221,9 +222,9 @@ def dealt_by_task(rows: DataFrame) -> DataFrame:
 def first_pairs(groups: DataFrame, num: int, den: int, cap: int = CAP) -> DataFrame:
     """Each document with the one of the smallest id, or itself being that the largest, that it meets at a shingle among those of its size and of the next smaller.
 
-    A shingle of more than ``cap`` documents is cut into blocks.
+    A shingle of more than ``cap`` documents is cut into blocks, other ones at each shingle, so that blocks link.
     """
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / cap))
+    block = F.pmod(F.xxhash64("rep", "token"), F.ceil(F.col("size") / cap))
     dealt = dealt_by_task(groups.select(F.xxhash64("token", block).alias("task"), "rep", "place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
